@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociframe.llm.pii import op1_anchor_pii
 from lociframe.llm.sharding import op3_rendezvous_sharding
 from lociframe.llm.url_filters import ORACLE_SQL as OP9_SQL
 from lociframe.llm.url_filters import op9_temporal_url_filters
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_anchor_pii,
             op3_rendezvous_sharding,
             op9_temporal_url_filters,
         )
