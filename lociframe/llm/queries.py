@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociframe.llm.packing import op4_sum_of_squares_packing
 from lociframe.llm.pii import op1_anchor_pii
+from lociframe.llm.quality import op5_decision_list_quality
 from lociframe.llm.sharding import op3_rendezvous_sharding
 from lociframe.llm.url_filters import ORACLE_SQL as OP9_SQL
 from lociframe.llm.url_filters import op9_temporal_url_filters
@@ -18,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_anchor_pii,
             op3_rendezvous_sharding,
+            op4_sum_of_squares_packing,
+            op5_decision_list_quality,
             op9_temporal_url_filters,
         )
     }
