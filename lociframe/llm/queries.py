@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociframe.llm.minhash import op7_lsh_forest_dedup
 from lociframe.llm.packing import op4_sum_of_squares_packing
 from lociframe.llm.pii import op1_anchor_pii
 from lociframe.llm.quality import op5_decision_list_quality
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_rendezvous_sharding,
             op4_sum_of_squares_packing,
             op5_decision_list_quality,
+            op7_lsh_forest_dedup,
             op9_temporal_url_filters,
         )
     }
