@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,43 +21,76 @@ WINDOW = 2048
 END_ID = 1
 #: Windows that may stand open in a task; beyond it they are cut anew and closed.
 MOST_OPEN = 4096
-#: Words whose ids a task keeps between portions of its rows; a cache only, results don't depend on it.
-CACHED_WORDS = 400_000
+#: Words that are encoded as one string.
+JOINED = 512
+#: Letters, then ASCII punctuation without the apostrophe, after which the pre-tokenizer has forms of its own.
+_PARTS = r"^(?P<letters>\p{L}+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 class WordTokenizer:
-    """Ids of whole texts by a ``tokenizers`` model whose pre-tokenizer never joins what white space parts.
+    """Ids of whole texts by a ``tokenizers`` BPE model with word ends, whose pre-tokenizer never joins what white
+    space parts and cuts letters from punctuation.
 
-    Each distinct word of a portion is encoded once, and frequent ones once a task; the ids of a text are those
-    of its words in order, which is what encoding it whole gives for such a model.
+    Each distinct word of a portion is encoded once. Words of letters, or letters and then ASCII punctuation, are
+    the ids of their two parts one after the other; distinct letter parts are encoded many to a string and told
+    apart by the ids that end a word. Other words, and strings with an unexpected number of word ends, are encoded
+    one by one. The ids of a text are those of its words in order, which is what encoding it whole gives.
     """
 
     def __init__(self, definition: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition)
-        self.cache: dict[str, list[int]] = {}
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix") or None
+        self.ends = np.zeros(self.model.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.joins = bool(suffix)
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)] if words else []
+        return np.fromiter((x for w in ids for x in w), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each word of letters."""
+        if not self.joins:
+            return self._one_by_one(words)
+        chunks = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for chunk, e in zip(chunks, self.model.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(chunk) and at[-1] == len(ids) - 1:
+                size = np.diff(at, prepend=-1)
+            else:
+                ids, size = self._one_by_one(chunk)
+            flat.append(ids)
+            sizes.append(size)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         words = split_words(texts)
         if not len(words.code):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        vocabulary, cache = words.vocabulary.to_pylist(), self.cache
-        ids = [cache.get(w) for w in vocabulary]
-        new = [i for i, x in enumerate(ids) if x is None]
-        if len(cache) + len(new) > CACHED_WORDS:
-            cache.clear()
-        for i, e in zip(new, self.model.encode_batch_fast([vocabulary[i] for i in new], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
-        if len(new) < CACHED_WORDS:
-            cache.update((vocabulary[i], ids[i]) for i in new)
-        each = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for w in ids for x in w), np.uint32, int(each.sum()))
+        parts = pc.extract_regex(words.vocabulary, _PARTS)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        letters = pc.ascii_lower(pc.struct_field(parts, "letters").filter(pa.array(plain))).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").filter(pa.array(plain)).dictionary_encode()
+        tables = [self._letters(letters.dictionary.to_pylist()), self._one_by_one(marks.dictionary.to_pylist()), self._one_by_one(words.vocabulary.filter(pa.array(~plain)).to_pylist()), (np.zeros(0, np.uint32), np.zeros(1, np.int64))]
+        flat, each = np.concatenate([t[0] for t in tables]).astype(np.uint32), np.concatenate([t[1] for t in tables])
         first = np.cumsum(each) - each
-        size = each[words.code]
-        at = np.repeat(first[words.code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return flat[at], np.bincount(words.doc, weights=size, minlength=len(texts)).astype(np.int64)
+        n1, n2 = len(tables[0][1]), len(tables[0][1]) + len(tables[1][1])
+        two = np.full((len(plain), 2), len(each) - 1)  # places in the tables of the parts of each distinct word; the last is nothing
+        two[plain, 0] = letters.indices.to_numpy()
+        two[plain, 1] = n1 + marks.indices.to_numpy()
+        two[~plain, 0] = n2 + np.arange(int((~plain).sum()))
+        stream = two[words.code].ravel()
+        size = each[stream]
+        at = np.repeat(first[stream] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return flat[at], np.bincount(words.doc, weights=size.reshape(-1, 2).sum(axis=1), minlength=len(texts)).astype(np.int64)
 
 
 class SumOfSquares:
