@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociframe.llm.embedding import op2_projection_forest_dedup
 from lociframe.llm.minhash import op7_lsh_forest_dedup
 from lociframe.llm.packing import op4_sum_of_squares_packing
 from lociframe.llm.pii import op1_anchor_pii
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_anchor_pii,
+            op2_projection_forest_dedup,
             op3_rendezvous_sharding,
             op4_sum_of_squares_packing,
             op5_decision_list_quality,
