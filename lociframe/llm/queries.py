@@ -12,6 +12,7 @@ from lociframe.llm.packing import op4_sum_of_squares_packing
 from lociframe.llm.pii import op1_anchor_pii
 from lociframe.llm.quality import op5_decision_list_quality
 from lociframe.llm.sharding import op3_rendezvous_sharding
+from lociframe.llm.toxicity import op8_crf_toxicity
 from lociframe.llm.url_filters import ORACLE_SQL as OP9_SQL
 from lociframe.llm.url_filters import op9_temporal_url_filters
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_sum_of_squares_packing,
             op5_decision_list_quality,
             op7_lsh_forest_dedup,
+            op8_crf_toxicity,
             op9_temporal_url_filters,
         )
     }
