@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lociframe.llm.embedding import op2_projection_forest_dedup
+from lociframe.llm.maxent import op6_maxent_lm
 from lociframe.llm.minhash import op7_lsh_forest_dedup
 from lociframe.llm.packing import op4_sum_of_squares_packing
 from lociframe.llm.pii import op1_anchor_pii
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_rendezvous_sharding,
             op4_sum_of_squares_packing,
             op5_decision_list_quality,
+            op6_maxent_lm,
             op7_lsh_forest_dedup,
             op8_crf_toxicity,
             op9_temporal_url_filters,
