@@ -30,8 +30,6 @@ REGION = 16
 BLOCK, BLOCK_TREES = 4, 4
 #: Members of a large region that an unlinked member is held against at once.
 SLAB = 512
-#: Estimated similarity below which unlinked members of large regions aren't confirmed: five standard errors under LINK.
-ESTIMATE = 0.67
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,35 +151,44 @@ def _candidates(small: DataFrame, large: DataFrame) -> DataFrame:
     return _pairs_inside(small, ["tree", "prefix"]).union(_pairs_inside(blocks, ["tree", "prefix", "_block"])).distinct()
 
 
-def _unlinked(large: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of members of one large region in different components whose estimate is near the threshold or above.
-
-    Every member outside the region's largest component is held against every other member, slab by slab,
-    by the signatures; nothing is left out for the size of the region.
+def _apart(table: pa.Table) -> pa.Table:
+    """Links of the seeking members of a slab to members of other components; one a member and component."""
+    node, comp, seeks = table["node"].to_numpy(), table["_c"].to_numpy(), table["_seek"].to_numpy(zero_copy_only=False)
+    sets = [np.frombuffer(v, "<u8") for v in table["shingles"].to_pylist()]
+    there = np.flatnonzero(~seeks)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    size = np.array([len(sets[i]) for i in there], np.int64)
+    all_ = np.concatenate([sets[i] for i in there]) if len(there) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(there)), size)
+    order = np.argsort(all_, kind="stable")
+    all_, owner = all_[order], owner[order]
+    for i in np.flatnonzero(seeks) if len(there) else []:
+        low, high = np.searchsorted(all_, sets[i], "left"), np.searchsorted(all_, sets[i], "right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(owner[at], minlength=len(there))
+        hit = there[(100 * both >= LINK * (len(sets[i]) + size - both)) & (comp[there] != comp[i])]
+        hit = hit[np.unique(comp[hit], return_index=True)[1]]
+        out_a.append(np.minimum(node[hit], node[i]))
+        out_b.append(np.maximum(node[hit], node[i]))
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+
+def _links_apart(large: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one large region that the links so far leave in different components.
+
+    Every member outside the region's largest component is held against every other member, slab by slab, on the
+    full sets; nothing is left out for the size of the region.
     """
     named = large.join(labels, "node", "left").select("tree", "prefix", "node", F.coalesce("component", "node").alias("_c"))
     sizes = named.groupBy("tree", "prefix", "_c").agg(F.count("*").alias("_m"))
     best = sizes.groupBy("tree", "prefix").agg(F.max(F.struct("_m", "_c")).alias("_best"), F.sum("_m").alias("_n"), F.count("*").alias("_parts"))
-    open_ = best.where("_parts > 1").select("tree", "prefix", F.col("_best._c").alias("_main"), "_n")
-    members = named.join(open_, ["tree", "prefix"]).join(nodes.select("node", "sig"), "node")
-    members = durable(members.withColumn("_slabs", F.ceil(F.col("_n") / SLAB).cast("int")), "open-regions")
-    if members.isEmpty():
-        return members.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    open_ = best.where("_parts > 1").select("tree", "prefix", F.col("_best._c").alias("_main"), F.ceil(F.col("_n") / SLAB).cast("int").alias("_slabs"))
+    members = durable(named.join(open_, ["tree", "prefix"]), "open-regions")
     fixed = members.withColumn("_slab", F.pmod(F.xxhash64("node"), F.col("_slabs")).cast("int")).withColumn("_seek", F.lit(False))
     seek = members.where("_c <> _main").withColumn("_slab", F.explode(F.sequence(F.lit(0), F.col("_slabs") - 1))).withColumn("_seek", F.lit(True))
-
-    def against(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u4").reshape(-1, TREES * DEPTH).astype(np.uint32)
-        node, comp, seeks = table["node"].to_numpy(), table["_c"].to_numpy(), table["_seek"].to_numpy(zero_copy_only=False)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        there = np.flatnonzero(~seeks)
-        for i in np.flatnonzero(seeks):
-            hit = there[(comp[there] != comp[i]) & ((sig[there] == sig[i]).mean(axis=1) >= ESTIMATE)]
-            out_a.append(np.minimum(node[hit], node[i]))
-            out_b.append(np.maximum(node[hit], node[i]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return fixed.unionByName(seek).groupBy("tree", "prefix", "_slab").applyInArrow(against, "a bigint, b bigint").distinct()
+    rows = fixed.unionByName(seek).join(sets, "node").select("tree", "prefix", "_slab", "node", "_c", "_seek", "shingles")
+    return rows.groupBy("tree", "prefix", "_slab").applyInArrow(_apart, "a bigint, b bigint").distinct()
 
 
 def text_hash(text: Column) -> Column:
@@ -219,7 +226,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Sets that hold different texts of one repeated key meet in that key.
     labels = connected_components(links)
     if not large.isEmpty():
-        more = durable(_confirmed(_unlinked(large, labels, nodes), sets), "links")
+        more = durable(_links_apart(large, labels, sets), "links")
         if not more.isEmpty():
             labels = connected_components(links.union(more))
     named = nodes.join(labels, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("_component"))
