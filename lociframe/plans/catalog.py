@@ -2,5 +2,422 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import gzip
+import os
+import tempfile
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociframe.functions import alphabet
+from lociframe.operators import bwt, fm, kmer, merge, reads, rle, stats
+from lociframe.operators.ordered import materialize
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Copies: every so many customers share a read.
+DISTINCT = 900
+_DNA = "translate(md5(CAST({key} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN')"
+_READS = f"reads AS (SELECT CAST(c_custkey AS BIGINT) AS rid, {_DNA.format(key=f'(c_custkey % {DISTINCT})')} AS s FROM customer)"
+_SUFFIX = """suffixes AS (
+  SELECT rid, s, CAST(p AS BIGINT) AS p, substr(s, p + 1) AS suf, CASE WHEN p = 0 THEN '$' ELSE substr(s, p, 1) END AS sym
+  FROM (SELECT rid, s, unnest(range(0, length(s) + 1)) AS p FROM reads))"""
+_BWT = "bwt AS (SELECT row_number() OVER (ORDER BY suf, s, rid) - 1 AS pos, sym FROM suffixes)"
+_ALL = f"WITH {_READS}, {_SUFFIX}, {_BWT}"
+_RUNS = """marked AS (SELECT pos, sym, CASE WHEN lag(sym) OVER (ORDER BY pos) = sym THEN 0 ELSE 1 END AS new FROM bwt),
+runs AS (SELECT CAST(run AS BIGINT) AS run_id, sym, min(pos) AS start_pos, count(*) AS len
+  FROM (SELECT pos, sym, sum(new) OVER (ORDER BY pos) - 1 AS run FROM marked) GROUP BY run, sym)"""
+_CODE = "(instr('$ACGNT', sym) - 1)"
+_BYTES = f"""digits AS (SELECT run_id, d, CAST({_CODE} + 8 * ((len >> (5 * d)) & 31) AS INTEGER) AS byte
+  FROM runs, range(0, 13) r(d) WHERE d = 0 OR (len >> (5 * d)) > 0),
+rle AS (SELECT row_number() OVER (ORDER BY run_id, d) - 1 AS off, byte FROM digits)"""
+_COUNTS = "counts AS (SELECT a.sym, count(b.sym) AS cnt FROM (VALUES ('$'), ('A'), ('C'), ('G'), ('N'), ('T')) a(sym) LEFT JOIN bwt b ON a.sym = b.sym GROUP BY a.sym)"
+_OFFSETS = "offsets AS (SELECT sym, cnt, CAST(coalesce(sum(cnt) OVER (ORDER BY sym) - cnt, 0) AS BIGINT) AS start_idx, CAST(sum(cnt) OVER (ORDER BY sym) AS BIGINT) AS end_idx FROM counts)"
+_SYMBOLS = alphabet.SYMBOLS
+_OCC = "occ AS (SELECT pos, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN sym = '{c}' THEN 1 ELSE 0 END) OVER w, 0) AS BIGINT) AS o{i}" for i, c in enumerate(_SYMBOLS)) + (
+    " FROM (SELECT pos, sym FROM bwt UNION ALL SELECT count(*), NULL FROM bwt) WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+)
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def base_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """The reads most queries run on: one of 32 bases a customer, with copies."""
+    return reads.from_keys(table(spark, sf, "customer"), "c_custkey", DISTINCT)
+
+
+def base_bwt(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt.build(base_reads(spark, sf))
+
+
+def stored_bwt(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(base_bwt(spark, sf), "bwt")
+
+
+# Scalar functions
+
+
+@query(f"WITH {_READS} SELECT rid, CAST(list_transform(string_split(s, ''), lambda c: CAST(instr('$ACGNT', c) - 1 AS INTEGER)) AS VARCHAR) AS codes FROM reads")
+def encode_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return base_reads(spark, sf).select("rid", F.concat(F.lit("["), F.array_join(alphabet.to_codes("s"), ", "), F.lit("]")).alias("codes"))
+
+
+@query(f"WITH {_READS} SELECT rid, s AS decoded FROM reads")
+def decode_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return base_reads(spark, sf).select("rid", alphabet.from_codes(alphabet.to_codes("s")).alias("decoded"))
+
+
+@query(
+    r"""SELECT doc_id, md5(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '[\x{80}-\x{7FF}]', 'NN', 'g'), '[\x{800}-\x{FFFF}]', 'NNN', 'g'), '[\x{10000}-\x{10FFFF}]', 'NNNN', 'g'),
+    '[^$ACGNTacgnt]', 'N', 'gs'), 'acgnt', 'ACGNT')) AS digest FROM documents"""
+)
+def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.md5(alphabet.normalize("text")).alias("digest"))
+
+
+@query(f"WITH {_READS} SELECT rid, reverse(translate(s, 'ACGT', 'TGCA')) AS rc FROM reads")
+def reverse_complement(spark: SparkSession, sf: str) -> DataFrame:
+    return base_reads(spark, sf).select("rid", alphabet.reverse_complement("s").alias("rc"))
+
+
+@query(f"WITH {_READS} SELECT rid, regexp_matches(s, '^[$ACGT]*$') AS plain FROM reads")
+def alphabet_check(spark: SparkSession, sf: str) -> DataFrame:
+    return base_reads(spark, sf).select("rid", (alphabet.is_kmer("s") & ~F.contains("s", F.lit("N"))).alias("plain"))
+
+
+@query(f"WITH {_READS}, {_SUFFIX} SELECT rid, p, suf, sym FROM suffixes")
+def suffix_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt.suffix_rows(base_reads(spark, sf)).select("rid", F.col("p").cast("long").alias("p"), "suf", "sym")
+
+
+# Building
+
+_SORTED = f"{_ALL} SELECT pos, sym FROM bwt"
+
+
+@query(_SORTED)
+def bwt_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    return base_bwt(spark, sf)
+
+
+@query(f"WITH {_READS}, {_SUFFIX} SELECT row_number() OVER (ORDER BY suf, rid) - 1 AS pos, sym FROM suffixes")
+def bwt_chronological(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt.build(base_reads(spark, sf), sorted_order=False)
+
+
+@query(_SORTED)
+def bwt_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt.build_bucketed(base_reads(spark, sf))
+
+
+@query(_SORTED)
+def bwt_doubling(spark: SparkSession, sf: str) -> DataFrame:
+    return bwt.build_long(base_reads(spark, sf))
+
+
+@query(
+    r"""WITH reads AS (SELECT doc_id AS rid, translate(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '[\x{80}-\x{7FF}]', 'NN', 'g'), '[\x{800}-\x{FFFF}]', 'NNN', 'g'), '[\x{10000}-\x{10FFFF}]', 'NNNN', 'g'),
+    '[^$ACGNTacgnt]', 'N', 'gs'), 'acgnt', 'ACGNT'), '$', 'N') AS whole FROM documents),
+    parts AS (SELECT rid * 1048576 + k AS rid, substr(whole, k * 48 + 1, 48) AS s FROM (SELECT rid, whole, unnest(range(0, greatest(1, CAST(ceil(length(whole) / 48.0) AS BIGINT)))) AS k FROM reads))
+    SELECT left(s, 4) AS head, count(*) AS windows, sum(length(s) + 1)::BIGINT AS symbols FROM parts GROUP BY 1"""
+)
+def text_windows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = reads.from_texts(table(spark, sf, "documents"), "doc_id", "text", 48)
+    return rows.groupBy(F.expr("left(s, 4)").alias("head")).agg(F.count("*").alias("windows"), F.sum(F.length("s").cast("long") + 1).alias("symbols"))
+
+
+# Counts and offsets
+
+
+@query(f"{_ALL}, {_COUNTS} SELECT sym, cnt FROM counts")
+def symbol_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.symbol_counts(base_bwt(spark, sf))
+
+
+@query(f"{_ALL}, {_COUNTS} SELECT sym, cnt FROM counts")
+def symbol_counts_rle(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.symbol_counts_of_runs(rle.runs(stored_bwt(spark, sf)))
+
+
+@query(f"WITH {_READS} SELECT CAST(sum(length(s) + 1) AS BIGINT) AS total FROM reads")
+def total_size(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.total_size(base_reads(spark, sf))
+
+
+@query(f"WITH {_READS} SELECT count(*) AS reads FROM reads")
+def read_count(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.read_count(base_reads(spark, sf))
+
+
+@query(f"{_ALL}, {_COUNTS}, {_OFFSETS} SELECT sym, cnt, start_idx, end_idx FROM offsets")
+def f_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.f_offsets(stats.symbol_counts(base_bwt(spark, sf)))
+
+
+@query(f"{_ALL}, {_COUNTS}, {_OFFSETS} SELECT sym, start_idx AS \"offset\" FROM offsets WHERE cnt > 0")
+def offset_map_present(spark: SparkSession, sf: str) -> DataFrame:
+    half = [base_bwt(spark, sf).where((F.col("pos") % 2) == k) for k in (0, 1)]
+    return stats.offset_map(*half)
+
+
+@query(f"{_ALL}, {_RUNS} SELECT count(*) AS runs, CAST(sum(len) AS BIGINT) AS symbols, CAST(sum(len) AS DOUBLE) / count(*) AS mean_run FROM runs")
+def index_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.layout(rle.runs(stored_bwt(spark, sf)))
+
+
+# Runs and bytes
+
+
+@query(f"{_ALL}, {_RUNS} SELECT run_id, sym, start_pos, len FROM runs")
+def bwt_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return rle.runs(stored_bwt(spark, sf))
+
+
+@query(f"{_ALL}, {_RUNS}, {_BYTES} SELECT off, byte FROM rle")
+def rle_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    return rle.to_bytes(rle.runs(stored_bwt(spark, sf)))
+
+
+@query(f"{_ALL}, {_RUNS} SELECT run_id, sym, start_pos, len FROM runs")
+def rle_decode(spark: SparkSession, sf: str) -> DataFrame:
+    return rle.from_bytes(materialize(rle.to_bytes(rle.runs(stored_bwt(spark, sf))), "rle"))
+
+
+@query(_SORTED)
+def rle_expand(spark: SparkSession, sf: str) -> DataFrame:
+    return rle.expand(rle.runs(stored_bwt(spark, sf)))
+
+
+# Ranks and index
+
+
+@query(f"{_ALL}, {_OCC} SELECT * FROM occ")
+def occ_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return fm.occ(stored_bwt(spark, sf))
+
+
+_FM_RUNS = "at AS (SELECT *, " + ", ".join(f"coalesce(sum(CASE WHEN sym = '{c}' THEN len ELSE 0 END) OVER w, 0) AS c{i}" for i, c in enumerate(_SYMBOLS)) + (
+    ", coalesce(sum(nb) OVER w, 0) AS ref FROM (SELECT *, (SELECT count(*) FROM range(0, 13) r(d) WHERE d = 0 OR (len >> (5 * d)) > 0) AS nb FROM runs)"
+    " WINDOW w AS (ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+)
+
+
+@query(
+    f"{_ALL}, {_RUNS}, {_FM_RUNS} SELECT CAST(b.bin AS BIGINT) AS bin, CAST(ref AS BIGINT) AS ref, "
+    + ", ".join(f"CAST(c{i} AS BIGINT) AS c{i}" for i in range(6))
+    + " FROM at, range(0, (SELECT count(*) // 256 + 1 FROM bwt)) b(bin) WHERE b.bin * 256 BETWEEN start_pos AND start_pos + len - 1 UNION ALL SELECT CAST(ceil(sum(len) / 256.0) AS BIGINT), CAST(sum(nb) AS BIGINT), "
+    + ", ".join(f"CAST(sum(CASE WHEN sym = '{c}' THEN len ELSE 0 END) AS BIGINT)" for c in _SYMBOLS)
+    + " FROM at"
+)
+def fm_sampled(spark: SparkSession, sf: str) -> DataFrame:
+    return fm.sampled(rle.runs(stored_bwt(spark, sf)))
+
+
+_PICK = "CASE r.sym " + " ".join(f"WHEN '{c}' THEN {{t}}.o{i}" for i, c in enumerate(_SYMBOLS)) + " END"
+
+
+@query(
+    f"{_ALL}, {_OCC}, {_COUNTS}, {_OFFSETS}, ranges AS (SELECT c_custkey AS qid, substr('ACGNT', CAST(c_custkey % 5 AS INTEGER) + 1, 1) AS sym, c_custkey AS l, c_custkey + c_custkey % 97 AS h FROM customer)"
+    f" SELECT r.qid, r.sym, s.start_idx + {_PICK.format(t='a')} AS l, s.start_idx + {_PICK.format(t='b')} AS h"
+    " FROM ranges r JOIN occ a ON a.pos = r.l JOIN occ b ON b.pos = r.h JOIN offsets s ON s.sym = r.sym"
+)
+def constrain_range_step(spark: SparkSession, sf: str) -> DataFrame:
+    built = stored_bwt(spark, sf)
+    key = F.col("c_custkey")
+    ranges = table(spark, sf, "customer").select(key.alias("qid"), F.substring(F.lit("ACGNT"), (key % 5).cast("int") + 1, F.lit(1)).alias("sym"), key.alias("l"), (key + key % 97).alias("h"))
+    return fm.constrain_range(ranges, fm.occ(built), stats.f_offsets(stats.symbol_counts(built)))
+
+
+# k-mer queries
+
+_KMERS = "SELECT substr(s, p, {k}) AS kmer FROM (SELECT s, unnest(range(1, length(s) - {k} + 2)) AS p FROM reads WHERE length(s) >= {k})"
+
+
+def batch_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """A query a order: the first 1 to 8 bases of the order's own read."""
+    own = reads.from_keys(table(spark, sf, "orders"), "o_orderkey")
+    return own.select(F.col("rid").alias("qid"), F.expr("substring(s, 1, CAST(rid % 8 AS INT) + 1)").alias("kmer"))
+
+
+_QUERIES = f"queries AS (SELECT CAST(o_orderkey AS BIGINT) AS qid, substr({_DNA.format(key='o_orderkey')}, 1, CAST(o_orderkey % 8 AS INTEGER) + 1) AS kmer FROM orders)"
+_BATCH = (
+    f"WITH {_READS}, {_QUERIES}, every AS ("
+    + " UNION ALL ".join(f"SELECT kmer, count(*) AS n FROM ({_KMERS.format(k=k)}) GROUP BY kmer" for k in range(1, 9))
+    + ") SELECT qid, q.kmer, coalesce(n, 0) AS n FROM queries q LEFT JOIN every e ON q.kmer = e.kmer"
+)
+
+
+@query(_BATCH)
+def count_kmer_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.count_kmers(base_reads(spark, sf), batch_queries(spark, sf))
+
+
+@query(_BATCH)
+def count_kmer_fm(spark: SparkSession, sf: str) -> DataFrame:
+    return fm.RelationalIndex(stored_bwt(spark, sf)).count_kmers(batch_queries(spark, sf))
+
+
+@query(_BATCH)
+def count_kmer_broadcast(spark: SparkSession, sf: str) -> DataFrame:
+    return fm.BroadcastIndex(stored_bwt(spark, sf)).count_kmers(batch_queries(spark, sf))
+
+
+@query(
+    f"WITH {_READS}, {_QUERIES}, every AS ("
+    + " UNION ALL ".join(f"SELECT kmer, count(*) AS n FROM ({_KMERS.format(k=k)}) GROUP BY kmer" for k in range(1, 9))
+    + ") SELECT qid, q.kmer, coalesce(e.n, 0) + coalesce(f.n, 0) AS n FROM queries q LEFT JOIN every e ON q.kmer = e.kmer LEFT JOIN every f ON reverse(translate(q.kmer, 'ACGT', 'TGCA')) = f.kmer"
+)
+def count_kmer_both_strands(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.count_kmers(base_reads(spark, sf), batch_queries(spark, sf), both_strands=True)
+
+
+@query(f"WITH {_READS} SELECT kmer, count(*) AS n FROM ({_KMERS.format(k=8)}) GROUP BY kmer")
+def kmer_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.spectrum(base_reads(spark, sf), 8)
+
+
+@query(f"WITH {_READS} SELECT kmer, count(*) AS n FROM ({_KMERS.format(k=6)}) GROUP BY kmer ORDER BY n DESC, kmer LIMIT 100")
+def kmer_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.top_kmers(base_reads(spark, sf), 6, 100)
+
+
+@query(f"WITH {_READS} SELECT least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM ({_KMERS.format(k=7)}) GROUP BY 1")
+def canonical_kmer(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.canonical_spectrum(base_reads(spark, sf), 7)
+
+
+def _ends(spark: SparkSession, sf: str, form: str) -> DataFrame:
+    own = reads.from_keys(table(spark, sf, "orders"), "o_orderkey")
+    return own.select(F.col("rid").alias("qid"), F.expr(form).alias("kmer"))
+
+
+def _ends_sql(form: str, match: str, shape: str) -> str:
+    return (
+        f"WITH {_READS}, q AS (SELECT CAST(o_orderkey AS BIGINT) AS qid, {_DNA.format(key='o_orderkey')} AS own FROM orders), k AS (SELECT qid, {form} AS kmer FROM q),"
+        f" d AS (SELECT DISTINCT kmer FROM k), n AS (SELECT kmer, count(*) AS n FROM d JOIN reads ON {match} GROUP BY kmer) SELECT k.qid, k.kmer, coalesce(n.n, 0) AS n FROM k LEFT JOIN n ON k.kmer = n.kmer"
+    )
+
+
+@query(_ends_sql("'$' || substr(own, 1, 3)", "'$' || left(s, 3) = kmer", ""))
+def prefix_count(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.count_kmers(base_reads(spark, sf), _ends(spark, sf, "concat('$', substring(s, 1, 3))"))
+
+
+@query(_ends_sql("substr(own, 1, 3) || '$'", "right(s, 3) || '$' = kmer", ""))
+def suffix_count(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.count_kmers(base_reads(spark, sf), _ends(spark, sf, "concat(substring(s, 1, 3), '$')"))
+
+
+@query(_ends_sql("substr(own, 1, 2) || '$' || substr(own, 3, 1)", "right(s, 2) || '$' || left(s, 1) = kmer", ""))
+def circular_count(spark: SparkSession, sf: str) -> DataFrame:
+    return kmer.count_kmers(base_reads(spark, sf), _ends(spark, sf, "concat(substring(s, 1, 2), '$', substring(s, 3, 1))"))
+
+
+# Merging
+
+
+def _part(spark: SparkSession, sf: str, k: int, of: int) -> DataFrame:
+    return materialize(bwt.build(base_reads(spark, sf).where(F.col("rid") % of == k)), "bwt")
+
+
+@query(_SORTED)
+def merge_bwt(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.merge(_part(spark, sf, 0, 2), _part(spark, sf, 1, 2))
+
+
+@query(_SORTED)
+def merge_bwt_many(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.merge_all(*[_part(spark, sf, k, 3) for k in range(3)])
+
+
+# Files and streams
+
+
+def _folder(spark: SparkSession) -> str:
+    from lociframe.operators.ordered import shared_dir
+
+    base = shared_dir(spark)
+    if base.startswith("file:"):
+        base = "/" + base.removeprefix("file:").lstrip("/")
+    os.makedirs(base, exist_ok=True)
+    return tempfile.mkdtemp(dir=base)
+
+
+@query(_SORTED)
+def npy_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    from lociframe.sources import npy
+
+    path = f"{_folder(spark)}/bwt.npy"
+    npy.write_npy(materialize(rle.to_bytes(rle.runs(stored_bwt(spark, sf))), "rle"), path)
+    return rle.expand(rle.from_bytes(materialize(npy.read_npy(spark, path), "rle")))
+
+
+@query(_SORTED)
+def ascii_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    from lociframe.sources import ascii_bwt
+
+    path = f"{_folder(spark)}/bwt.txt"
+    ascii_bwt.write_ascii(stored_bwt(spark, sf), path)
+    return ascii_bwt.read_ascii(spark, path)
+
+
+@query(_SORTED)
+def fastx_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads written as a plain FASTA, a gzipped FASTA and a gzipped FASTQ file by the driver, then built from those."""
+    from lociframe.sources import fastx
+
+    folder = _folder(spark)
+    paths = [f"{folder}/{n}" for n in ("a.fa", "b.fa.gz", "c.fq.gz")]
+    files = [open(paths[0], "wt"), gzip.open(paths[1], "wt"), gzip.open(paths[2], "wt")]
+    for i, r in enumerate(base_reads(spark, sf).toLocalIterator()):
+        k = i % 3
+        files[k].write(f"@{r.rid}\n{r.s}\n+\n{'I' * len(r.s)}\n" if k == 2 else f">{r.rid}\n{r.s[:20].lower()}\n{r.s[20:]}\n")
+    for f in files:
+        f.close()
+    return bwt.build(fastx.read_fastx(spark, paths))
+
+
+@query(_SORTED)
+def stream_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads arrive as a stream of three micro-batches; each is merged into the BWT so far."""
+    from lociframe.streaming.inserts import GrowingBwt
+
+    folder = _folder(spark)
+    rows = base_reads(spark, sf)
+    for k in range(3):
+        rows.where(F.col("rid") % 3 == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema("rid bigint, s string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    growing = GrowingBwt(spark, f"{folder}/index")
+    growing.start(stream, f"{folder}/state").awaitTermination()
+    return growing.bwt()
+
+
+@query(f"WITH {_READS} SELECT kmer, count(*) AS n FROM ({_KMERS.format(k=8)}) GROUP BY kmer")
+def stream_kmer_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    from lociframe.streaming.inserts import kmer_counts, run_to_memory
+
+    folder = _folder(spark)
+    rows = base_reads(spark, sf)
+    for k in range(3):
+        rows.where(F.col("rid") % 3 == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema("rid bigint, s string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    name = "kmers_" + os.path.basename(folder).replace("-", "_")
+    run_to_memory(kmer_counts(stream, 8), name, f"{folder}/state")
+    return spark.table(name)
