@@ -10,6 +10,7 @@ from lociframe.llm.embedding import op2_projection_forest_dedup
 from lociframe.llm.maxent import op6_maxent_lm
 from lociframe.llm.minhash import op7_lsh_forest_dedup
 from lociframe.llm.packing import op4_sum_of_squares_packing
+from lociframe.llm.pieces import op10_max_plus_pieces
 from lociframe.llm.pii import op1_anchor_pii
 from lociframe.llm.quality import op5_decision_list_quality
 from lociframe.llm.sharding import op3_rendezvous_sharding
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op7_lsh_forest_dedup,
             op8_crf_toxicity,
             op9_temporal_url_filters,
+            op10_max_plus_pieces,
         )
     }
 
