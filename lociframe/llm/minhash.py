@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociframe.llm.common import durable, pick
+from lociframe.llm.common import drop_durable, durable, free_name, pick
 from lociframe.llm.graph import connected_components
 from lociframe.llm.words import filled, mix, portions, split_words
 
@@ -229,10 +229,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         more = durable(_links_apart(large, labels, sets), "links")
         if not more.isEmpty():
             labels = connected_components(links.union(more))
+    for done in (pairs, sets, links):
+        drop_durable(done)
     named = nodes.join(labels, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("_component"))
     out = sketch.join(named, ["k1", "k2", "n_shingles"], "left").select(F.col("_id").alias(key), "n_shingles", F.coalesce("_component", "_id").alias("component_id"))
     return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id")))
 
 
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each group of near-duplicates: the smallest key stays.
+
+    Rows are told apart by numbers of their own, so repeated rows and rows with null keys are one group like any
+    other copies. The table is written once with these numbers.
+    """
+    row = free_name(docs, "_row")
+    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows, row, text).select(F.col(f"`{row}`").alias("_at"), F.col("component_id").alias("_group"))
+    keyed = rows.select(F.col(f"`{row}`").alias("_at"), F.col(f"`{key}`").alias("_key"))
+    named = durable(groups.join(keyed, "_at"), "groups")
+    first = named.groupBy("_group").agg(F.min(F.struct(F.col("_key").isNull().alias("_none"), "_key", "_at"))["_at"].alias("_stays"), F.count("*").alias("_n")).where("_n > 1")
+    gone = named.join(first, "_group").where("_at <> _stays").select(F.col("_at").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
+
+
 def op7_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import durable, pick
+from lociframe.llm.common import pick
 from lociframe.llm.words import filled, mix, portions, rows_of, split_words
 
 #: Labelled rows that a list is learned from: about this many of them, chosen by a hash of their key.
@@ -235,30 +235,41 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def learn_from(counts: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", bound: int = LABELLED_ROWS) -> list[Rule]:
-    """A list learned from ``counts`` (made durable) and the labels; about ``bound`` rows come to the driver.
+def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = LABELLED_ROWS) -> list[Rule]:
+    """A list learned from labelled whole texts; the counts of about ``bound`` rows come to the driver.
 
-    Keys that the base fails anyway teach nothing and are left out, as are null labels; a key with several labels
-    has their mean, bad below one half.
+    Texts that the base fails anyway teach nothing and are left out, as are null keys and labels; a key with
+    several labels has their mean, bad below one half.
     """
-    marked = labels.select(F.col(f"`{key}`").alias(key), F.col(f"`{label}`").cast("double").alias("_label")).where("_label IS NOT NULL").groupBy(key).agg(F.avg("_label").alias("_label"))
-    joined = counts.where(~base_failed()).join(marked, key)
-    share = min(1.0, bound / max(1, labels.count()))
-    rows = joined.where(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("learn")), F.lit(1_000_000)) < int(share * 1_000_000))
-    table = rows.select(F.col(f"`{key}`").alias("_key"), "_label", *COUNTS).toArrow().sort_by([("_key", "ascending"), ("n_words", "ascending")])
+    marked = labels.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("_label")).where("_label IS NOT NULL AND _id IS NOT NULL")
+    share = min(1.0, bound / max(1, marked.count()))
+    mine = marked.where(F.pmod(F.xxhash64("_id", F.lit("learn")), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("_id").agg(F.avg("_label").alias("_label"))
+    rows = pick(docs, key, text).toDF("_id", "_text").join(F.broadcast(mine), "_id")  # about ``bound`` keys
+    counted = count_texts(rows.select("_id", "_text"), "_id", "_text").where(~base_failed()).join(F.broadcast(mine), "_id")
+    table = counted.toArrow().sort_by([("_id", "ascending"), *((c, "ascending") for c in COUNTS)])
     return learn_decision_list({c: table[c].to_numpy() for c in COUNTS}, table["_label"].to_numpy() < 0.5)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's counts, base_failed, rule (0: none) and kept.
 
-    The counts come from one pass over the whole texts; the list is learned from the labelled ones and is applied
-    to all rows as one conditional expression. Null and empty texts have counts of 0 and fail the base. Null and
-    repeated keys stay; a null key has no label. An empty table gives an empty one; other columns are left out.
+    The list is learned from labelled texts; counts come from one pass over the whole texts and the list is
+    applied to them as one conditional expression. Null and empty texts have counts of 0 and fail the base. Null
+    and repeated keys stay; a null key has no label. An empty table gives an empty one; other columns are left out.
     """
-    counts = durable(count_texts(docs, key, text), "quality-counts")
-    rules = learn_from(counts, labels, key)
-    return counts.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    rules = learn_rules(docs, labels, key, text)
+    judged = count_texts(docs, key, text).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base and that no rule marks. One pass, no shuffle."""
+    names = docs.columns
+    shown = [f"_c{i}" for i in range(len(names))]
+    rows = docs.toDF(*shown).withColumn("_text", F.col(shown[names.index(text)]))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), *(f"{c} bigint" for c in COUNTS)])
+    kept = rows.mapInArrow(_count_rows, schema).where(~base_failed() & (verdict(rules) == 0))
+    return kept.select(*[F.col(s).alias(n) for n, s in zip(names, shown, strict=True)])
 
 
 def op5_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

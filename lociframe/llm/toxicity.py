@@ -228,7 +228,7 @@ def learn(texts: pa.Array, toxic: np.ndarray, rounds: int = 45, l2: float = 0.3,
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(x) or y.min() == y.max():  # one class: the smoothed share whatever the text
-        rate = (y.sum() + 0.5) / (len(y) + 1)
+        rate = (y.sum() + 0.5) / (len(y) + 2)  # without labels below one half: nothing is toxic
         return np.zeros(x.shape[1]), np.ones(x.shape[1]), np.append(np.log(rate / (1 - rate)), np.zeros(x.shape[1]))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])

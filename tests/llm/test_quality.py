@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from lociframe.llm.quality import COUNTS, Rule, base_failed, count_texts, judge_quality, learn_decision_list, op5_decision_list_quality, text_counts, verdict
+from lociframe.llm.quality import COUNTS, Rule, base_failed, count_texts, judge_quality, keep_good, learn_decision_list, op5_decision_list_quality, text_counts, verdict
 
 
 def brute(text):
@@ -60,6 +60,7 @@ def test_edge_rows(spark):
     labels = spark.createDataFrame([(1, 0), (None, None), (4, 1)], "doc_id long, quality int")
     got = judge_quality(docs, labels).collect()
     assert sorted(r.n_words for r in got) == [0, 0, 2, 50000, 50000] and all(r.base_failed and not r.kept for r in got)
+    assert keep_good(docs, []).columns == docs.columns and keep_good(docs, []).count() == 0
     assert judge_quality(docs.limit(0), labels.limit(0)).count() == 0
     assert count_texts(docs.limit(0)).count() == 0
 
