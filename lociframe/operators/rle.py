@@ -7,14 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lociframe.functions.alphabet import byte_digit, byte_symbol, run_bytes
+from lociframe.operators import ordered
 from lociframe.operators.ordered import previous, running_sums
 
 
 def runs(bwt: DataFrame) -> DataFrame:
-    """(run_id, sym, start_pos, len): maximal runs of a BWT (pos, sym), numbered from 0."""
-    marked = previous(bwt, "sym", "_before").withColumn("_new", (F.col("_before").isNull() | (F.col("_before") != F.col("sym"))).cast("long"))
-    numbered = running_sums(marked, {"_earlier": F.col("_new")})
-    return numbered.groupBy((F.col("_earlier") + F.col("_new") - 1).alias("run_id"), "sym").agg(F.min("pos").alias("start_pos"), F.count("*").alias("len"))
+    """(run_id, sym, start_pos, len): maximal runs of a BWT (pos, sym), numbered from 0.
+
+    Changes are counted inside blocks of positions; blocks, one row each, hand over their last symbol and their count.
+    """
+    rows = bwt.select("pos", "sym", F.shiftright("pos", ordered.BLOCK_BITS).alias("_block"))
+    own = Window.partitionBy("_block").orderBy("pos")
+    change = F.coalesce((F.lag("sym").over(own) != F.col("sym")).cast("long"), F.lit(0))
+    inside = rows.withColumn("_change", change).withColumn("_inside", F.sum("_change").over(own))
+    blocks = inside.groupBy("_block").agg(F.min_by("sym", "pos").alias("_initial"), F.max_by("sym", "pos").alias("_final"), F.max("_inside").alias("_n"))
+    return inside.join(_handed(blocks), "_block").groupBy((F.col("_start") + F.col("_inside")).alias("run_id"), "sym").agg(F.min("pos").alias("start_pos"), F.count("*").alias("len"))
+
+
+def _handed(blocks: DataFrame) -> DataFrame:
+    """(_block, _start): the number of the run that a block begins in."""
+    marked = previous(blocks.withColumnRenamed("_block", "pos"), "_final", "_before")
+    fresh = (F.col("_before").isNull() | (F.col("_before") != F.col("_initial"))).cast("long")
+    at = running_sums(marked.withColumn("_fresh", fresh), {"_earlier": F.col("_fresh") + F.col("_n")})
+    return at.select(F.col("pos").alias("_block"), (F.col("_earlier") + F.col("_fresh") - 1).alias("_start"))
 
 
 def merge_runs(pieces: DataFrame) -> DataFrame:

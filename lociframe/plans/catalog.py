@@ -213,7 +213,7 @@ def occ_rank(spark: SparkSession, sf: str) -> DataFrame:
     return fm.occ(stored_bwt(spark, sf))
 
 
-_FM_RUNS = "at AS (SELECT *, " + ", ".join(f"coalesce(sum(CASE WHEN sym = '{c}' THEN len ELSE 0 END) OVER w, 0) AS c{i}" for i, c in enumerate(_SYMBOLS)) + (
+_FM_RUNS = "placed AS (SELECT *, " + ", ".join(f"coalesce(sum(CASE WHEN sym = '{c}' THEN len ELSE 0 END) OVER w, 0) AS c{i}" for i, c in enumerate(_SYMBOLS)) + (
     ", coalesce(sum(nb) OVER w, 0) AS ref FROM (SELECT *, (SELECT count(*) FROM range(0, 13) r(d) WHERE d = 0 OR (len >> (5 * d)) > 0) AS nb FROM runs)"
     " WINDOW w AS (ORDER BY run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 )
@@ -222,9 +222,9 @@ _FM_RUNS = "at AS (SELECT *, " + ", ".join(f"coalesce(sum(CASE WHEN sym = '{c}'
 @query(
     f"{_ALL}, {_RUNS}, {_FM_RUNS} SELECT CAST(b.bin AS BIGINT) AS bin, CAST(ref AS BIGINT) AS ref, "
     + ", ".join(f"CAST(c{i} AS BIGINT) AS c{i}" for i in range(6))
-    + " FROM at, range(0, (SELECT count(*) // 256 + 1 FROM bwt)) b(bin) WHERE b.bin * 256 BETWEEN start_pos AND start_pos + len - 1 UNION ALL SELECT CAST(ceil(sum(len) / 256.0) AS BIGINT), CAST(sum(nb) AS BIGINT), "
+    + " FROM placed, range(0, (SELECT count(*) // 256 + 1 FROM bwt)) b(bin) WHERE b.bin * 256 BETWEEN start_pos AND start_pos + len - 1 UNION ALL SELECT CAST(ceil(sum(len) / 256.0) AS BIGINT), CAST(sum(nb) AS BIGINT), "
     + ", ".join(f"CAST(sum(CASE WHEN sym = '{c}' THEN len ELSE 0 END) AS BIGINT)" for c in _SYMBOLS)
-    + " FROM at"
+    + " FROM placed"
 )
 def fm_sampled(spark: SparkSession, sf: str) -> DataFrame:
     return fm.sampled(rle.runs(stored_bwt(spark, sf)))
