@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.operators.ordered import materialize, number_rows
+from lociframe.operators.ordered import materialize, number_rows, release
 
 
 def suffix_rows(reads: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def build(reads: DataFrame, sorted_order: bool = True) -> DataFrame:
 
 
 def build_bucketed(reads: DataFrame, sorted_order: bool = True, width: int = 4) -> DataFrame:
-    """The same BWT from buckets of suffixes that share their first ``width`` symbols.
+    """The same BWT from buckets of suffixes that share their first ``width`` symbols, for reads of mixed content.
 
     Bucket sizes are counted first, from the reads alone: at most 6**width + 6**(width-1) + ... rows, which are
     broadcast. Low-complexity reads fill few buckets; :func:`build` cuts ranges by size instead.
@@ -65,7 +65,10 @@ def build_long(reads: DataFrame) -> DataFrame:
         ahead = rows.select("rid", ((F.col("p") - k % F.col("n") + F.col("n")) % F.col("n")).alias("p"), F.col("rk").alias("rk2"))
         pairs = materialize(rows.join(ahead, ["rid", "p"]), "doubling")
         dense = number_rows(pairs.select("rk", "rk2").distinct(), ["rk", "rk2"], "_new")
+        done = rows
         rows = materialize(pairs.join(dense, ["rk", "rk2"]).select("rid", "p", "n", "sym", F.col("_new").alias("rk")), "doubling")
+        release(pairs)
+        release(done)
         k *= 2
     return number_rows(rows, ["rk", "rid", "p"], "pos").select("pos", "sym")
 

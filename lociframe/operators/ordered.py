@@ -15,7 +15,7 @@ ONE_TASK_ROWS = 1_000_000
 RANGE_ROWS = 2_000_000
 #: Positions of a block, as bits; a block of blocks has as many again.
 BLOCK_BITS = 16
-#: Largest number of rows that goes into one array of a task.
+#: Low bits of Spark's row numbers, which count inside a partition.
 _PART_BITS = 33
 
 
@@ -39,6 +39,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/lociframe/" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def number_rows(df: DataFrame, keys: list[str], name: str = "pos", rows: int | None = None) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... in the order of ``keys``.
 
