@@ -163,12 +163,14 @@ def evidence(hashed: np.ndarray, code: np.ndarray, doc: np.ndarray, toxic: np.nd
     width = np.uint64(max(1, len(hashed)))
     own = np.unique(doc.astype(np.uint64) * width + code.astype(np.uint64))
     d, w = (own // width).astype(np.int64), (own % width).astype(np.int64)
-    keys, at = np.unique(hashed[w].ravel(), return_inverse=True)
-    owner = np.repeat(d, hashed.shape[1])
-    pair = np.unique(at.astype(np.int64) * (len(toxic) + 1) + owner)
-    f, d = pair // (len(toxic) + 1), pair % (len(toxic) + 1)
-    yes = np.bincount(f, weights=toxic[d], minlength=len(keys))
-    all_ = np.bincount(f, minlength=len(keys))
+    keys, at = np.unique(hashed, return_inverse=True)
+    at = at.reshape(hashed.shape).astype(np.int32)
+    yes, all_ = np.zeros(len(keys)), np.zeros(len(keys))
+    for k in range(hashed.shape[1]):  # a feature is of one column, but for 0, which is none
+        pair = np.unique(at[w, k] * np.int64(len(toxic) + 1) + d)
+        f, of = pair // (len(toxic) + 1), pair % (len(toxic) + 1)
+        yes += np.bincount(f, weights=toxic[of], minlength=len(keys))
+        all_ += np.bincount(f, minlength=len(keys))
     no = all_ - yes
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     ratio = np.log((yes + 0.5) / (n1 + 1)) - np.log((no + 0.5) / (n0 + 1))
@@ -177,6 +179,13 @@ def evidence(hashed: np.ndarray, code: np.ndarray, doc: np.ndarray, toxic: np.nd
     return keys, all_, bound
 
 
+def _groups(first: np.ndarray, most: int = 300_000) -> list[int]:
+    """Bounds of runs of whole texts of about ``most`` words."""
+    starts = np.flatnonzero(first)
+    part = starts // most
+    return [*starts[np.flatnonzero(np.diff(part, prepend=-1))].tolist(), len(first)] if len(starts) else [0, 0]
+
+
 def learn(texts: pa.Array, toxic: np.ndarray, rounds: int = 45, l2: float = 0.3, lead: float = 1.0, seed: int = 3) -> ToxicityModel:
     """Labelled texts to a model. Three quarters teach the field, one quarter how its marginals score a text.
 
@@ -206,13 +215,20 @@ def learn(texts: pa.Array, toxic: np.ndarray, rounds: int = 45, l2: float = 0.3,
     theta = np.zeros(len(held) + 6)  # weights, bias, four transitions, start
     theta[len(held)] = np.log((y.sum() + 0.5) / (len(y) + 1))
     step, before = np.full(len(theta), 0.1), np.zeros(len(theta))
+    at = at.astype(np.int32)
+    bounds = _groups(first)
     for _ in range(rounds if len(y) else 0):
         w = np.append(theta[: len(held)], 0.0)
-        e = theta[len(held)] + w[at].sum(axis=1)
-        chain = Chain(np.exp(np.clip(e, -30, 30))[code], first, np.exp(theta[-5:-1].reshape(2, 2)), float(np.exp(theta[-1])))
-        per_word = np.bincount(code, weights=y - chain.p, minlength=len(core))
-        g = np.bincount(at.ravel(), weights=np.repeat(per_word, at.shape[1]), minlength=len(held) + 1)[: len(held)]
-        g = np.concatenate([g, [per_word.sum()], (pairs_y - chain.pairs()).ravel(), [(y[first] - chain.p[first]).sum()]]) - l2 * theta * (np.arange(len(theta)) != len(held))
+        x = np.exp(np.clip(theta[len(held)] + w[at].sum(axis=1), -30, 30))
+        per_word, pairs_p, start_g = np.zeros(len(core)), np.zeros((2, 2)), 0.0
+        for i, j in zip(bounds, bounds[1:]):  # whole texts, some hundred thousand words at once
+            chain = Chain(x[code[i:j]], first[i:j], np.exp(theta[-5:-1].reshape(2, 2)), float(np.exp(theta[-1])))
+            gap = y[i:j] - chain.p
+            per_word += np.bincount(code[i:j], weights=gap, minlength=len(core))
+            pairs_p += chain.pairs()
+            start_g += gap[first[i:j]].sum()
+        g = sum(np.bincount(at[:, k], weights=per_word, minlength=len(held) + 1) for k in range(at.shape[1]))[: len(held)]
+        g = np.concatenate([g, [per_word.sum()], (pairs_y - pairs_p).ravel(), [start_g]]) - l2 * theta * (np.arange(len(theta)) != len(held))
         turn = np.sign(g) * np.sign(before)
         step = np.clip(np.where(turn > 0, step * 1.2, np.where(turn < 0, step * 0.5, step)), 1e-6, 1.0)
         before = np.where(turn < 0, 0, g)
@@ -220,9 +236,11 @@ def learn(texts: pa.Array, toxic: np.ndarray, rounds: int = 45, l2: float = 0.3,
     keep = np.abs(theta[: len(held)]) > 1e-3
     model = ToxicityModel(held[keep], theta[: len(held)][keep], float(theta[len(held)]), theta[-5:-1].reshape(2, 2), float(theta[-1]), np.zeros(6), np.ones(6), np.zeros(7))
     judge = texts.filter(pa.array(fold)) if fold.any() else texts
-    words = split_words(judge)
-    total, peak = sums(model.tag(words), words)
-    model.mean, model.scale, model.logistic = _logistic(summary(total, peak, words.count), toxic[fold] if fold.any() else toxic)
+    summaries = [np.zeros((0, 6))]
+    for i in range(0, len(judge), 200):
+        words = split_words(judge.slice(i, 200))
+        summaries.append(summary(*sums(model.tag(words), words), words.count))
+    model.mean, model.scale, model.logistic = _logistic(np.concatenate(summaries), toxic[fold] if fold.any() else toxic)
     return model
 
 
@@ -261,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def _scorer(model, spans: bool) -> object:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan: ToxicityModel = model.value
-        for batch in portions(batches, "_text"):
+        for batch in portions(batches, "_text", 4 << 20):
             texts = filled(batch.column("_text"))
             words = split_words(texts)
             p = plan.tag(words)
