@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ NEVER = float("-inf")
 #: Characters from which a word is cut at its boundaries before it is solved.
 LONG = 64
 _ONE = [1]
+_WORDS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
 @dataclass
@@ -36,6 +38,10 @@ class Vocabulary:
     byte_ids: list[int]  # empty without byte fallback
     unknown: int
     table: list[bytes]  # what each id decodes to
+    name: int = 0  # tells models apart
+
+    def __post_init__(self) -> None:
+        self.name = zlib.crc32(repr((self.kind, sorted(self.scores.items()), self.byte_ids, self.unknown)).encode())
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -109,6 +115,7 @@ class Lattice:
         self.agree: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, list[int]] = {}
         self.newline = not any("\n" in p for p in self.pieces)
+        self.spaced = not any(b[1] == SPACE != b[0] for b in self.joined)  # a space after something else is a boundary
 
     # Weights
 
@@ -266,8 +273,24 @@ class Lattice:
     def _inside(self, text: str, low: int, high: int, fronts: list[tuple[int, int]]) -> tuple[int, int] | None:
         """The first and the last boundary of a chunk that lie between all its front and back states."""
         after = max([low, *(f[1] for f in fronts)])
-        found = self.boundaries(text, after, high)
-        return (found[0], found[-1]) if found else None
+        first = self._boundary(text, range(max(after, 1), min(high, len(text) - 1) + 1))
+        return None if first is None else (first, self._boundary(text, range(min(high, len(text) - 1), first - 1, -1)))
+
+    def _boundary(self, text: str, places: range) -> int | None:
+        """The first boundary among ``places``."""
+        return next((p for p in places if text[p - 1 : p + 1] not in self.joined), None)
+
+    def _between(self, text: str, many: ManyPaths | None) -> list[int]:
+        """Ids of a text from one boundary to another: those of its words, distinct ones solved once."""
+        if many is None or not self.newline or not self.spaced:
+            cuts = [0, *self.boundaries(text, 1, len(text) - 1), len(text)]
+            return [i for a, b in zip(cuts, cuts[1:]) for i in self.stretch(text[a:b])]
+        words = _WORDS.findall(text)
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for w in words if w != "\n"))}
+        ids, count = many.solve(list(number))
+        own = [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] if number else []
+        line = self.ids_of("\n")
+        return [i for w in words for i in (line if w == "\n" else own[number[w]])]
 
     def transfer(self, text: str, low: int, high: int) -> tuple[list, list, list[list[float]]]:
         """Front states, back states and matrix of the chunk text[low:high]; ``text`` has a margin of the longest piece on both sides."""
@@ -285,7 +308,7 @@ class Lattice:
             cuts = self.boundaries(text, first, last)
             middle = sum(self.weight(p) for a, b in zip(cuts, cuts[1:]) for p in self.solve(text[a:b]))
         if last == high:
-            tail_from = max(self.boundaries(text, first, high - 1), default=first)
+            tail_from = self._boundary(text, range(high - 1, first - 1, -1)) if high > first else first
             tail = {(high - len(p), high): w for p, w in [self._last_piece(text[tail_from:high])]} if high > first else {}
             if not tail:  # all of the chunk lies before its only boundary
                 return fronts, backs, [[head[b][k][0] if b in head else NEVER for b in backs] for k in range(len(fronts))]
@@ -297,7 +320,7 @@ class Lattice:
     def _last_piece(self, text: str) -> tuple[str, float]:
         return self.solve(text)[-1], 0.0
 
-    def backtrace(self, text: str, low: int, high: int, front: tuple[int, int], back: tuple[int, int]) -> list[int]:
+    def backtrace(self, text: str, low: int, high: int, front: tuple[int, int], back: tuple[int, int], many: ManyPaths | None = None) -> list[int]:
         """Ids of the pieces that begin in the chunk, on the best path between two states."""
         sync = self._inside(text, low, high, [front])
         if sync is None:
@@ -305,9 +328,8 @@ class Lattice:
         first, last = sync
         head = self.scan(text, low, first, [front])
         ids = self._walk(text, low, first, front, max(head, key=lambda s: head[s][0][0])) if first > max(low, front[1]) else []
-        cuts = self.boundaries(text, first, last)
-        for a, b in zip(cuts, cuts[1:]):
-            ids += self.stretch(text[a:b])
+        if last > first:
+            ids += self._between(text[first:last], many)
         return ids if last == high else ids + self._walk(text, last, high, (last, last), back)
 
     def _walk(self, text, low, high, front, back) -> list[int]:
@@ -469,6 +491,18 @@ class ManyPaths:
         return self._starts[at] == key
 
 
+_MADE: dict[int, tuple[Lattice, ManyPaths | None]] = {}
+
+
+def made(vocabulary: Vocabulary) -> tuple[Lattice, ManyPaths | None]:
+    """A model's lattice and word solver, made once in a Python worker and kept for its later tasks."""
+    if vocabulary.name not in _MADE:
+        _MADE.clear()
+        lattice = Lattice(vocabulary)
+        _MADE[vocabulary.name] = lattice, ManyPaths(lattice) if lattice.bpe else None
+    return _MADE[vocabulary.name]
+
+
 def multiply(a: list[list[float]], b: list[list[float]]) -> list[list[float]]:
     """The product of two matrices by (max, +)."""
     return [[max((x + y for x, y in zip(row, column, strict=True)), default=NEVER) for column in zip(*b, strict=True)] for row in a]
@@ -547,8 +581,7 @@ def _lists(ids: np.ndarray, count: np.ndarray) -> pa.Array:
 
 def _encoder(vocabulary, columns: list[str]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary.value)
-        many = ManyPaths(lattice) if lattice.bpe else None
+        lattice, many = made(vocabulary.value)
         for batch in portions(batches, "_text", 4 << 20):
             ids = _lists(*encode_batch(lattice, filled(batch.column("_text")), many))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), ids], names=[*columns, "ids"])
@@ -562,7 +595,7 @@ def _pack(states: list) -> list[int]:
 
 def _transfers(vocabulary) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary.value)
+        lattice, _ = made(vocabulary.value)
         for batch in batches:
             rows = []
             for text, low, high, skip in zip(*(batch.column(c).to_pylist() for c in ("part", "low", "high", "skip")), strict=True):
@@ -590,11 +623,11 @@ def _choose(table: pa.Table) -> pa.Table:
 
 def _traces(vocabulary) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary.value)
+        lattice, many = made(vocabulary.value)
         for batch in batches:
             out = []
             for text, low, high, skip, fb, fe, bb, be in zip(*(batch.column(c).to_pylist() for c in ("part", "low", "high", "skip", "front_begin", "front_end", "back_begin", "back_end")), strict=True):
-                out.append(lattice.backtrace(text, low, high, (fb - skip, fe - skip), (bb - skip, be - skip)))
+                out.append(lattice.backtrace(text, low, high, (fb - skip, fe - skip), (bb - skip, be - skip), many))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("k"), pa.array(out, pa.list_(pa.int32()))], names=["_row", "k", "ids"])
 
     return run
