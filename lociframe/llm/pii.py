@@ -25,10 +25,11 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MASKED = re.compile(r"[\x20]?(?:\(at\)|\[at\]|\{at\})[\x20]?([A-Za-z0-9-]{1,63}(?:(?:\.|[\x20]?(?:\(dot\)|\[dot\]|\{dot\})[\x20]?)[A-Za-z0-9-]{1,63}){1,8})", re.I)
-_LOGIN = re.compile(r"://[^\s/?#@:]{1,256}:[^\s/?#@]{1,256}@[A-Za-z0-9.-]{1,256}")
+_MASKED = re.compile(r"[\x20]?(?:\(at\)|\[at\]|\{at\})[\x20]?([A-Za-z0-9-]+(?:(?:\.|[\x20]?(?:\(dot\)|\[dot\]|\{dot\})[\x20]?)[A-Za-z0-9-]+)+)", re.I)
+_LOGIN = re.compile(r"://[^\s/?#@:]++:[^\s/?#@]++@[A-Za-z0-9.-]+")
 _IBAN = re.compile(r"[\x20:#.=]{0,3}([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{2,4}){3,8})(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[\"']?[\x20]{0,2}[:=][\x20]{0,2}[\"']?([A-Za-z0-9_./+=-]{16,512})(?![A-Za-z0-9_./+=-])")
+_GIVEN = re.compile(r"[\"']?[\x20]{0,2}[:=][\x20]{0,2}[\"']?")
+_SECRET = re.compile(r"[A-Za-z0-9_./+=-]{16,}")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 #: Words before an account number or a secret.
 _IBAN_CUES = ("iban",)
@@ -139,10 +140,12 @@ class PiiFinder:
             done["iban"] = m.end(1)
 
     def _secret(self, text, last, out, done) -> None:
-        m = _SECRET.match(text, last + 1)
-        if m and m.start(1) >= done["secret"] and any(c in _DIGIT for c in m[1]) and any(c.isalpha() for c in m[1]):
-            out["secret"].append(m.span(1))
-            done["secret"] = m.end(1)
+        given = _GIVEN.match(text, last + 1)
+        # Cues inside a run that was read aren't followed again: what ends it has no more letters or digits than all of it.
+        if given and given.end() >= done["secret"] and (m := _SECRET.match(text, given.end())):
+            done["secret"] = m.end()
+            if any(c in _DIGIT for c in m[0]) and any(c.isalpha() for c in m[0]):
+                out["secret"].append(m.span())
 
 
 def redact(text: str, spans: list[Span]) -> str:

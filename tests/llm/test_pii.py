@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lociframe.llm.pii import BASE, PiiFinder, digest, find_pii, luhn, op1_anchor_pii, redact, redact_documents
 
@@ -73,3 +74,18 @@ def test_query(spark):
         assert r.base_sha256 == hashlib.sha256(digest(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in want) for x in BASE]
         assert set(digest(want).split(",")) <= set(r.spans.split(","))
+
+
+def test_long_values():
+    finder = PiiFinder()
+    token, user, word = "eyJ0" * 900, "u" * 300, "p1" * 400
+    label = "d" * 70
+    text = f"token: {token} and https://{user}:{word}@h.example/x and me [at] {label} [dot] " + "a." * 12 + "com"
+    got = {k: text[a:b] for k, a, b in finder(text)}
+    assert got["secret"] == token and got["login_url"] == f"https://{user}:{word}@h.example" and got["masked_email"].startswith("me [at] ddd") and got["masked_email"].endswith(".a.com")
+    clean = redact(text, finder(text))
+    assert "eyJ0" not in clean and "p1p1" not in clean and label not in clean
+    # Cues inside a long run are read once.
+    start = time.process_time()
+    assert finder("token=" * 100_000) == [] and finder("://a:" * 100_000) == []
+    assert time.process_time() - start < 20
