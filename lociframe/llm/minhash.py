@@ -96,7 +96,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shingle_sets(filled(batch.column("_text")))
         ends = np.cumsum(counts)
         sets = [hashes[e - c : e].astype("<u8").tobytes() for e, c in zip(ends, counts, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_text_hash"), pa.array(sets, pa.binary())], names=["_id", "_text_hash", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,6 +195,15 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text, F.lit("text"))
 
 
+def _same_key(full: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes that hold different texts of one repeated key."""
+    digest = F.struct("k1", "k2", "n_shingles")
+    several = full.groupBy("_id").agg(F.min(digest).alias("_a"), F.max(digest).alias("_b")).where("_a <> _b").select("_id")
+    held = full.join(several, "_id", "left_semi").select("_id", "k1", "k2", "n_shingles").distinct().join(nodes, ["k1", "k2", "n_shingles"]).select("_id", "node")
+    first = held.groupBy("_id").agg(F.min("node").alias("a"))
+    return held.join(first, "_id").where("a <> node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: ``key``, n_shingles, component_id, kept.
 
@@ -213,17 +222,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sketch = durable(rows.mapInArrow(_sketch, "_id bigint, _text_hash bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary"), "sketches")
     full = sketch.where("n_shingles > 0 AND _id IS NOT NULL")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("_id", "_text_hash", "sig")).alias("_first"))
-    nodes = durable(classes.select("k1", "k2", "n_shingles", F.col("_first._id").alias("node"), F.col("_first._text_hash").alias("_text_hash"), F.col("_first.sig").alias("sig")), "nodes")
+    nodes = durable(classes.select("k1", "k2", "n_shingles", F.monotonically_increasing_id().alias("node"), F.col("_first._id").alias("_first_id"), F.col("_first._text_hash").alias("_text_hash"), F.col("_first.sig").alias("sig")), "nodes")
 
     small, large = regions(nodes)
     pairs = durable(_candidates(small, large), "pairs")
     # Sets of the texts that are a candidate: found in the input again by key and hash.
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select(F.col("node").alias("_id"), "_text_hash")
-    again = rows.where("_id IS NOT NULL").join(wanted, ["_id", "_text_hash"], "left_semi")
-    sets = durable(again.select("_id", "_text_hash", "_text").mapInArrow(_sets, "_id bigint, _text_hash bigint, shingles binary").groupBy("_id").agg(F.first("shingles").alias("shingles")).withColumnRenamed("_id", "node"), "sets")
-    links = durable(_confirmed(pairs, sets), "links")
-    # Sets that hold different texts of one repeated key meet in that key.
+    wanted = nodes.join(ends, "node", "left_semi").select("node", F.col("_first_id").alias("_id"), "_text_hash")
+    again = rows.where("_id IS NOT NULL").join(wanted, ["_id", "_text_hash"])
+    sets = durable(again.select("node", "_text").mapInArrow(_sets, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    links = durable(_confirmed(pairs, sets).union(_same_key(full, nodes)), "links")
     labels = connected_components(links)
     if not large.isEmpty():
         more = durable(_links_apart(large, labels, sets), "links")
@@ -231,7 +239,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             labels = connected_components(links.union(more))
     for done in (pairs, sets, links):
         drop_durable(done)
-    named = nodes.join(labels, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("_component"))
+    linked = nodes.join(labels, "node").select("node", "component", "_first_id")
+    least = linked.groupBy("component").agg(F.min("_first_id").alias("_least"))
+    least = linked.join(least, "component").select("node", "_least")
+    named = nodes.join(least, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("_least", "_first_id").alias("_component"))
     out = sketch.join(named, ["k1", "k2", "n_shingles"], "left").select(F.col("_id").alias(key), "n_shingles", F.coalesce("_component", "_id").alias("component_id"))
     return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id")))
 

@@ -89,3 +89,12 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     compare(op7_lsh_forest_dedup(spark, sf).collect(), texts)
+
+
+def test_different_texts_of_one_key(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(words(rng, 100)) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (3, a + " more"), (9, b + " more"), (7, c), (None, b)]
+    for parts in (1, 4):
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [(0, 3, False), (3, 3, True), *[(5, 3, False)] * 3, (7, 7, True), (9, 3, False)]
