@@ -29,4 +29,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         drop_durable(near)
         labels = jumped.select("node", "component")
         if not changed:
+            drop_durable(both)
             return labels
