@@ -19,7 +19,7 @@ from lociframe.llm.words import filled, portions, split_words
 WINDOW = 2048
 #: Id that ends every document.
 END_ID = 1
-#: Windows that may stand open in a task; beyond it they are cut anew and closed.
+#: Windows that may stand open in a task, which bounds its memory; beyond it the fullest is topped up from the emptiest.
 MOST_OPEN = 4096
 #: Words that are encoded as one string.
 JOINED = 512
@@ -101,21 +101,29 @@ class SumOfSquares:
     (which takes one from h and adds one to h + n, or to none if that fills it). Ties go to the fullest window.
     ``place`` costs one pass over the level array, whatever has been packed before.
 
-    ``finish`` closes what stands open. Windows whose fill is a power of two need no padding and stay; the pieces
-    of the others are laid end to end and cut anew at the window size, the last rest at powers of two.
+    ``top_up`` closes a window without an item that fits: the fullest takes what it lacks from the emptiest, whose last
+    piece is cut. It runs while more than ``most_open`` windows stand open, and by ``finish`` until none does. Windows
+    whose fill is a power of two need no padding and stay; the last rest is cut at powers of two. ``placed`` and
+    ``moved`` count the tokens that were placed by the rule and, of these, those that were moved again.
     """
 
     def __init__(self, emit: Callable[[list[tuple], int], None], size: int = WINDOW, most_open: int = MOST_OPEN) -> None:
         self.size, self.emit, self.most_open = size, emit, most_open
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(size + 1)]
-        self.standing = 0
+        self.standing = self.placed = self.moved = 0
 
     def place(self, item: tuple, n: int) -> None:
         """``item``: anything; it comes back in ``emit`` as (item, from, to) with its bounds inside the item."""
-        size, count = self.size, self.count
-        if n >= size:
+        if n >= self.size:
             raise ValueError("cut whole windows off first")
+        self.placed += n
+        self._put((item, 0, n), n)
+        while self.standing > self.most_open:
+            self.top_up()
+
+    def _put(self, piece: tuple, n: int) -> None:
+        size, count = self.size, self.count
         # Change of the sum of squares by a move from level h to h + n, for h = 0 ... size - n.
         after = 2 * count[n : size + 1] + 1
         after[-1] = 0
@@ -124,45 +132,72 @@ class SumOfSquares:
         cost = np.where(count[: size - n + 1] > 0, after + before, np.iinfo(np.int64).max)
         cost[0] = after[0]
         h = size - n - int(np.argmin(cost[::-1]))
-        window = self.open[h].pop() if h else []
-        window.append((item, 0, n))
-        if h:
-            count[h] -= 1
-            self.standing -= 1
+        window = self._take(h) if h else []
+        window.append(piece)
         if h + n == size:
             self.emit(window, size)
-            return
-        count[h + n] += 1
-        self.open[h + n].append(window)
+        else:
+            self._stand(window, h + n)
+
+    def _stand(self, window: list[tuple], level: int) -> None:
+        self.open[level].append(window)
+        self.count[level] += 1
         self.standing += 1
-        if self.standing > self.most_open:
-            self.finish()
+
+    def _take(self, level: int) -> list[tuple]:
+        self.count[level] -= 1
+        self.standing -= 1
+        return self.open[level].pop()
+
+    def top_up(self) -> None:
+        """Moves tokens from the emptiest window to the fullest; either the one is full then or the other gone."""
+        levels = np.flatnonzero(self.count)
+        low, high = int(levels[0]), int(levels[-1])
+        into, other = self._take(high), self._take(low)
+        room = self.size - high
+        self.moved += min(room, low)
+        while room and other:
+            item, a, b = other.pop()
+            n = min(room, b - a)
+            into.append((item, b - n, b))
+            if b - n > a:
+                other.append((item, a, b - n))
+            room -= n
+        if room:
+            self._stand(into, self.size - room)
+        else:
+            self.emit(into, self.size)
+        if other:
+            self._stand(other, low - (self.size - high))
+
+    def again(self) -> None:
+        """Places the items of all open windows anew by the same rule, long ones first, so that short ones fill what is left."""
+        items = [item for level in np.flatnonzero(self.count).tolist() for _ in range(int(self.count[level])) for item in self._take(level)]
+        for item, a, b in sorted(items, key=lambda x: x[1] - x[2]):
+            self._put((item, a, b), b - a)
 
     def finish(self) -> None:
-        size, rest, filled_to = self.size, [], 0
-        for level in range(size - 1, 0, -1):
-            for window in self.open[level]:
-                if level & (level - 1) == 0:
-                    self.emit(window, level)
-                else:
-                    rest += window
-                    filled_to += level
-            self.open[level] = []
-        self.count[:] = 0
-        self.standing = 0
-        bounds = [size] * (filled_to // size)
-        bounds += [1 << b for b in range(size.bit_length() - 1, -1, -1) if (filled_to % size) >> b & 1]
-        pieces = iter(rest)
-        item, a, b = next(pieces, (None, 0, 0))
-        for bound in bounds:
-            window, room = [], bound
-            while room:
-                n = min(room, b - a)
-                window.append((item, a, a + n))
-                room, a = room - n, a + n
-                if a == b:
-                    item, a, b = next(pieces, (None, 0, 0))
-            self.emit(window, bound)
+        self.again()
+        for bit in range(self.size.bit_length()):
+            if 1 << bit < self.size:
+                while self.count[1 << bit]:
+                    self.emit(self._take(1 << bit), 1 << bit)
+        while self.standing > 1:
+            self.top_up()
+        for level in np.flatnonzero(self.count).tolist():
+            window, bits = self._take(level), [1 << b for b in range(level.bit_length()) if level >> b & 1]
+            self.moved += level - bits[-1]
+            while bits:
+                part, room = [], bits.pop()
+                size = room
+                while room:
+                    item, a, b = window.pop(0)
+                    n = min(room, b - a)
+                    part.append((item, a, a + n))
+                    if a + n < b:
+                        window.insert(0, (item, a + n, b))
+                    room -= n
+                self.emit(part, size)
 
 
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -223,7 +258,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, key: str
     document ends with ``end_id``. Whole windows are cut off the front of long documents; what is left is placed
     by :class:`SumOfSquares`. A task packs its own rows as they stream by, without a shuffle; it holds a portion of
     texts, the level array and MOST_OPEN open windows. Sequences are full or have a power of two of ids, so
-    none is padded.
+    none is padded: what no item fills is topped up by cutting the emptiest windows.
 
     Null and empty texts are documents of the end id alone. Null and repeated keys stay, each row a document of
     its own. An empty table gives an empty one; other columns are left out. Task numbers go into sequence_id:

@@ -4,9 +4,10 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
-from lociframe.llm.packing import SumOfSquares, op4_sum_of_squares_packing, pack_documents, padding
+from lociframe.llm.packing import SumOfSquares, WordTokenizer, op4_sum_of_squares_packing, pack_documents, padding
 
 
 def test_places_where_the_sum_of_squares_is_least():
@@ -70,3 +71,37 @@ def test_query(spark):
     got = op4_sum_of_squares_packing(spark, sf)
     check(got.collect(), texts, 2048)
     assert padding(got.toArrow()) == 0
+
+
+def test_little_is_cut_again():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = WordTokenizer(f.read())
+    lengths = tokenizer.encode(pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].combine_chunks())[1] + 1
+    for tasks in (1, 4):
+        moved = 0
+        for k in range(tasks):
+            packing = SumOfSquares(lambda w, n: None)
+            for i, n in enumerate(lengths[k::tasks].tolist()):
+                if n % 2048:
+                    packing.place(i, n % 2048)
+            packing.finish()
+            assert not packing.standing and not packing.count.any()
+            moved += packing.moved
+        assert moved < 0.02 * lengths.sum()
+
+
+def test_open_windows_are_bounded():
+    done = []
+    packing = SumOfSquares(lambda w, n: done.append((w, n)), 64, most_open=10)
+    for i in range(500):  # no two of them fit a window
+        packing.place(i, 33 + i % 7)
+        assert packing.standing <= 10
+    packing.finish()
+    assert all(sum(b - a for _, a, b in w) == n and (n == 64 or n & (n - 1) == 0) for w, n in done)
+    pieces = defaultdict(list)
+    for w, _ in done:
+        for i, a, b in w:
+            pieces[i].append((a, b))
+    for i in range(500):
+        ends = sorted(pieces[i])
+        assert ends[0][0] == 0 and ends[-1][1] == 33 + i % 7 and all(x[1] == y[0] for x, y in zip(ends, ends[1:]))
