@@ -22,12 +22,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="lociframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def durable(df: DataFrame, name: str, **partitioned) -> DataFrame:
+def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: executors lost later cost no recomputation, and the table is read rather than made
@@ -72,5 +74,11 @@ def crc_remainder(key: object, modulus: int) -> int:
     return zlib.crc32(b"" if key is None else str(key).encode()) % modulus
 
 
+def share_of(hashed: Column, share: Column | float) -> Column:
+    """True for about ``share`` of all 64-bit hashes, to the precision of a double however small the share is."""
+    wanted = share if isinstance(share, Column) else F.lit(float(share))
+    return F.shiftrightunsigned(hashed, 1).cast("double") <= wanted * float(1 << 63)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import pick
+from lociframe.llm.common import pick, share_of
 from lociframe.llm.words import filled, mix, portions, rows_of, split_words
 
 #: Labelled rows that a list is learned from: about this many of them, chosen by a hash of their key.
@@ -243,7 +243,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     """
     marked = labels.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("_label")).where("_label IS NOT NULL AND _id IS NOT NULL")
     share = min(1.0, bound / max(1, marked.count()))
-    mine = marked.where(F.pmod(F.xxhash64("_id", F.lit("learn")), F.lit(1_000_000)) < int(share * 1_000_000)).groupBy("_id").agg(F.avg("_label").alias("_label"))
+    mine = marked.where(share_of(F.xxhash64("_id", F.lit("learn")), share)).groupBy("_id").agg(F.avg("_label").alias("_label"))
     rows = pick(docs, key, text).toDF("_id", "_text").join(F.broadcast(mine), "_id")  # about ``bound`` keys
     counted = count_texts(rows.select("_id", "_text"), "_id", "_text").where(~base_failed()).join(F.broadcast(mine), "_id")
     table = counted.toArrow().sort_by([("_id", "ascending"), *((c, "ascending") for c in COUNTS)])

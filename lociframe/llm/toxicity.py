@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import WORD_RE, pick, remainder
+from lociframe.llm.common import WORD_RE, pick, remainder, share_of
 from lociframe.llm.words import Words, filled, portions, split_words
 
 #: Labelled rows that the field is learned from: about this many of them, chosen by a hash of their key.
@@ -269,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     marked = labels.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("_label")).where("_label IS NOT NULL AND _id IS NOT NULL")
     share = min(1.0, bound / max(1, marked.count()))
-    mine = marked.where((remainder(F.col("_id"), FOLDS) != HELD_OUT) & (F.pmod(F.xxhash64("_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000)))
+    mine = marked.where((remainder(F.col("_id"), FOLDS) != HELD_OUT) & share_of(F.xxhash64("_id", F.lit("toxic")), share))
     mine = mine.groupBy("_id").agg(F.avg("_label").alias("_label"))
     rows = pick(docs, key, text).toDF("_id", "_text").join(F.broadcast(mine), "_id")  # about ``bound`` keys
     table = rows.select("_text", "_label", F.xxhash64("_id", F.lit("order")).alias("_at")).toArrow().sort_by([("_at", "ascending"), ("_text", "ascending")])
