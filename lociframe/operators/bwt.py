@@ -18,18 +18,29 @@ def total_rows(reads: DataFrame) -> int:
     return reads.agg(F.sum(F.length("s").cast("long") + 1)).first()[0] or 0
 
 
-def order_suffixes(reads: DataFrame, sorted_order: bool = True) -> DataFrame:
+def order_suffixes(reads: DataFrame, sorted_order: bool = True, most_in_one_task: int | None = None) -> DataFrame:
     """Suffix rows with their place: by suffix and then whole read (lexicographic) or read number (chronological).
 
     ``$`` sorts below the bases and a prefix before what it begins, so the order of rotations is this one.
     """
     keys = ["suf", "s", "rid"] if sorted_order else ["suf", "rid"]
-    return number_rows(suffix_rows(reads), keys, "pos", total_rows(reads))
+    return number_rows(suffix_rows(reads), keys, "pos", total_rows(reads), most_in_one_task)
 
 
-def build(reads: DataFrame, sorted_order: bool = True) -> DataFrame:
+def build(reads: DataFrame, sorted_order: bool = True, most_in_one_task: int | None = None) -> DataFrame:
     """The BWT of short reads. Suffix text costs half the square of a read's length: for long reads use :func:`build_long`."""
-    return order_suffixes(reads, sorted_order).select("pos", "sym")
+    return order_suffixes(reads, sorted_order, most_in_one_task).select("pos", "sym")
+
+
+#: Characters of suffix text for each BWT row above which reads count as long.
+LONG_SUFFIXES = 512
+
+
+def build_any(reads: DataFrame, sorted_order: bool = True) -> DataFrame:
+    """The BWT by suffix text or, where that is counted to be long, by doubling (lexicographic order only)."""
+    n = F.length("s").cast("double")
+    rows, text = reads.agg(F.sum(n + 1), F.sum(n * (n + 1) / 2)).first()
+    return build_long(reads) if sorted_order and rows and text / rows > LONG_SUFFIXES else build(reads, sorted_order)
 
 
 def build_bucketed(reads: DataFrame, sorted_order: bool = True, width: int = 4) -> DataFrame:

@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="lociframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -47,7 +49,7 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def number_rows(df: DataFrame, keys: list[str], name: str = "pos", rows: int | None = None) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], name: str = "pos", rows: int | None = None, most_in_one_task: int | None = None) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... in the order of ``keys``.
 
     ``rows`` is the table's size if known, else it is counted. Up to ONE_TASK_ROWS one window does it. Above,
@@ -56,7 +58,7 @@ def number_rows(df: DataFrame, keys: list[str], name: str = "pos", rows: int | N
     a range. A sort, a shuffle, and no second sort.
     """
     rows = df.count() if rows is None else rows
-    if rows <= ONE_TASK_ROWS:
+    if rows <= (ONE_TASK_ROWS if most_in_one_task is None else most_in_one_task):
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
     ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
     sorted_ = materialize(df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranges")

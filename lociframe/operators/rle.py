@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from lociframe.functions.alphabet import byte_digit, byte_symbol, run_bytes
 from lociframe.operators import ordered
-from lociframe.operators.ordered import previous, running_sums
+from lociframe.operators.ordered import materialize, number_rows, previous, running_sums
 
 
 def runs(bwt: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def runs(bwt: DataFrame) -> DataFrame:
     change = F.coalesce((F.lag("sym").over(own) != F.col("sym")).cast("long"), F.lit(0))
     inside = rows.withColumn("_change", change).withColumn("_inside", F.sum("_change").over(own))
     blocks = inside.groupBy("_block").agg(F.min_by("sym", "pos").alias("_initial"), F.max_by("sym", "pos").alias("_final"), F.max("_inside").alias("_n"))
+    blocks = materialize(blocks, "blocks")  # a row a block, read several times below
     return inside.join(_handed(blocks), "_block").groupBy((F.col("_start") + F.col("_inside")).alias("run_id"), "sym").agg(F.min("pos").alias("start_pos"), F.count("*").alias("len"))
 
 
@@ -34,10 +35,7 @@ def _handed(blocks: DataFrame) -> DataFrame:
 
 def merge_runs(pieces: DataFrame) -> DataFrame:
     """Maximal runs from ordered pieces (run_id, sym, len) whose neighbours may have one symbol or no length."""
-    some = pieces.where("len > 0")
-    from lociframe.operators.ordered import number_rows
-
-    dense = number_rows(some, ["run_id"], "pos")
+    dense = materialize(number_rows(pieces.where("len > 0"), ["run_id"], "pos"), "runs")
     marked = previous(dense, "sym", "_before").withColumn("_new", (F.col("_before").isNull() | (F.col("_before") != F.col("sym"))).cast("long"))
     at = running_sums(marked, {"_earlier": F.col("_new"), "_start": F.col("len")})
     return at.groupBy((F.col("_earlier") + F.col("_new") - 1).alias("run_id"), "sym").agg(F.min("_start").alias("start_pos"), F.sum("len").alias("len"))
@@ -54,7 +52,7 @@ def expand(runs_: DataFrame) -> DataFrame:
 
 def to_bytes(runs_: DataFrame) -> DataFrame:
     """(off, byte 0..255). Needs maximal runs: neighbours of one symbol would decode as digits of one run."""
-    each = runs_.select("run_id", run_bytes("sym", "len").alias("_bytes"))
+    each = materialize(runs_.select("run_id", run_bytes("sym", "len").alias("_bytes")), "runs")  # running sums read it twice
     at = running_sums(each, {"_off": F.size("_bytes")}, "run_id")
     return at.select("_off", F.posexplode("_bytes").alias("_k", "byte")).select((F.col("_off") + F.col("_k")).alias("off"), F.col("byte").cast("int").alias("byte"))
 
@@ -65,9 +63,9 @@ def from_bytes(rle: DataFrame) -> DataFrame:
     Digits of a run may lie in different blocks of the input; runs are told apart by a running sum over all bytes.
     """
     symbols = rle.select("off", "byte", byte_symbol("byte").alias("sym"))
-    marked = previous(symbols, "sym", "_before", "off").withColumn("_new", (F.col("_before").isNull() | (F.col("_before") != F.col("sym"))).cast("long"))
+    marked = materialize(previous(symbols, "sym", "_before", "off").withColumn("_new", (F.col("_before").isNull() | (F.col("_before") != F.col("sym"))).cast("long")), "marked")
     numbered = running_sums(marked, {"_earlier": F.col("_new")}, "off").withColumn("run_id", F.col("_earlier") + F.col("_new") - 1)
     digit = F.row_number().over(Window.partitionBy("run_id").orderBy("off")) - 1  # a run has 13 digits at most
     value = F.call_function("shiftleft", byte_digit("byte"), digit * 5)
-    each = numbered.withColumn("_value", value).groupBy("run_id", "sym").agg(F.sum("_value").alias("len"))
+    each = materialize(numbered.withColumn("_value", value).groupBy("run_id", "sym").agg(F.sum("_value").alias("len")), "runs")
     return running_sums(each, {"start_pos": F.col("len")}, "run_id").select("run_id", "sym", "start_pos", "len")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,3 +47,8 @@ def read_count(reads: DataFrame) -> DataFrame:
 def layout(runs: DataFrame) -> DataFrame:
     """One row on how a collection compresses: runs, symbols, mean run length."""
     return runs.agg(F.count("*").alias("runs"), F.coalesce(F.sum("len"), F.lit(0)).alias("symbols"), (F.sum("len") / F.count("*")).alias("mean_run"))
+
+
+def observed(bwt: DataFrame, met: Observation) -> DataFrame:
+    """The same rows; once they have been used, ``met`` holds how many of each symbol there were, in the order of the alphabet."""
+    return bwt.observe(met, *[F.sum((F.col("sym") == c).cast("long")).alias(c) for c in SYMBOLS])
