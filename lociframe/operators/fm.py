@@ -7,11 +7,11 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociframe.functions.alphabet import SYMBOLS, checked_kmer, run_bytes
-from lociframe.operators.ordered import materialize, running_sums
+from lociframe.operators.ordered import materialize, release, running_sums
 from lociframe.operators.stats import f_offsets, symbol_counts
 
 #: Positions between samples, as bits.
@@ -67,15 +67,39 @@ def constrain_range(ranges: DataFrame, table: DataFrame, offsets: DataFrame) ->
 class KmerIndex(Protocol):
     """What an index answers; :class:`RelationalIndex` and :class:`BroadcastIndex` do so in different ways."""
 
+    @classmethod
+    def load_vector(cls, rle_bytes: DataFrame, bin_power: int = BIN_POWER) -> KmerIndex: ...
+
+    @classmethod
+    def load_npy(cls, spark: SparkSession, path: str, bin_power: int = BIN_POWER) -> KmerIndex: ...
+
     def symbol_counts(self) -> DataFrame: ...
 
     def total_size(self) -> int: ...
 
+    def constrain_range(self, ranges: DataFrame) -> DataFrame: ...
+
     def count_kmers(self, queries: DataFrame) -> DataFrame: ...
 
 
-class RelationalIndex:
-    """Backward search as joins: a round a symbol, for any size of BWT. Queries whose range is empty leave the loop."""
+class _Loads:
+    """Indexes of run-length bytes (off, byte) and of ``.npy`` files of them."""
+
+    @classmethod
+    def load_vector(cls, rle_bytes: DataFrame, bin_power: int = BIN_POWER):
+        from lociframe.operators import rle
+
+        return cls(materialize(rle.expand(rle.from_bytes(rle_bytes)), "loaded"), bin_power)
+
+    @classmethod
+    def load_npy(cls, spark: SparkSession, path: str, bin_power: int = BIN_POWER):
+        from lociframe.sources import npy
+
+        return cls.load_vector(npy.read_npy(spark, path), bin_power)
+
+
+class RelationalIndex(_Loads):
+    """Backward search as joins: a round a symbol, for any size of BWT. Suffixes whose range is empty leave the loop."""
 
     def __init__(self, bwt: DataFrame, bin_power: int = BIN_POWER) -> None:
         self.bin_power = bin_power
@@ -99,27 +123,84 @@ class RelationalIndex:
         rank = _pick(F.col("_c"), [F.col(f"c{i}") for i in range(6)]) + inside
         return joined.select(*[F.col(c) for c in rows.columns], rank.alias(name))
 
+    def constrain_range(self, ranges: DataFrame) -> DataFrame:
+        """One backward step of (qid, sym, l, h); ends beyond the last row are that row's end."""
+        start = F.broadcast(self.offsets.select(F.col("sym").alias("_c"), "start_idx"))
+        ranked = self._rank(self._rank(ranges.withColumn("_c", F.col("sym")), "l", "_rl"), "h", "_rh").join(start, "_c")
+        return ranked.select("qid", "sym", (F.col("start_idx") + F.col("_rl")).alias("l"), (F.col("start_idx") + F.col("_rh")).alias("h"))
+
+    def suffix_ranges(self, kmers: DataFrame) -> DataFrame:
+        """(kmer, l, h) for every suffix of ``kmers`` (kmer) that occurs: a written table, for the caller to release.
+
+        A suffix that many k-mers have is searched once: its range is that of the suffix one symbol shorter, one step
+        back. The first symbol's ranges are the offsets.
+        """
+        at = F.explode(F.sequence(F.lit(1), F.length("kmer")))
+        all_ = kmers.where("kmer <> ''").select("kmer", at.alias("_p")).select(F.expr("substring(kmer, _p)").alias("kmer")).distinct()
+        all_ = materialize(all_.select("kmer", F.length("kmer").alias("_n")), "suffixes")
+        longest = all_.agg(F.max("_n")).first()[0] or 0
+        state = all_.where("_n = 1").join(F.broadcast(self.offsets), F.col("kmer") == F.col("sym")).where("start_idx < end_idx")
+        states = [materialize(state.select("kmer", F.col("start_idx").alias("l"), F.col("end_idx").alias("h")), "search")]
+        for n in range(2, longest + 1):
+            shorter = states[-1].select(F.col("kmer").alias("_shorter"), "l", "h")
+            going = all_.where(F.col("_n") == n).select("kmer", F.expr("substring(kmer, 2)").alias("_shorter")).join(shorter, "_shorter")
+            stepped = self.constrain_range(going.select(F.col("kmer").alias("qid"), F.expr("substring(kmer, 1, 1)").alias("sym"), "l", "h"))
+            states.append(materialize(stepped.where("l < h").select(F.col("qid").alias("kmer"), "l", "h"), "search"))
+        found = states[0]
+        for state in states[1:]:
+            found = found.unionAll(state)
+        out = materialize(found, "ranges")
+        for done in (all_, *states):
+            release(done)
+        return out
+
     def count_kmers(self, queries: DataFrame) -> DataFrame:
         """(qid, kmer, n); see :func:`lociframe.operators.kmer.count_kmers`."""
         asked = materialize(queries.select("qid", checked_kmer("kmer").alias("kmer")), "queries")
-        distinct = asked.where("kmer IS NOT NULL").select("kmer").distinct()
-        state = materialize(distinct.select("kmer", F.length("kmer").alias("_left"), F.lit(0).cast("long").alias("l"), F.lit(self._total).cast("long").alias("h")), "search")
-        start = F.broadcast(self.offsets.select(F.col("sym").alias("_c"), "start_idx"))
-        done = state.where("_left = 0 OR l >= h").select("kmer", (F.col("h") - F.col("l")).alias("n"))
-        longest = distinct.agg(F.max(F.length("kmer"))).first()[0] or 0
-        for _ in range(longest if self._total else 0):
-            going = state.where("_left > 0 AND l < h").withColumn("_c", F.expr("substring(kmer, _left, 1)"))
-            ranked = self._rank(self._rank(going, "l", "_rl"), "h", "_rh").join(start, "_c")
-            state = materialize(ranked.select("kmer", (F.col("_left") - 1).alias("_left"), (F.col("start_idx") + F.col("_rl")).alias("l"), (F.col("start_idx") + F.col("_rh")).alias("h")), "search")
-            done = done.unionAll(state.where("_left = 0 OR l >= h").select("kmer", (F.col("h") - F.col("l")).alias("n")))
-        return asked.join(done, "kmer", "left").select("qid", "kmer", F.when(F.col("kmer").isNotNull(), F.coalesce("n", F.lit(0))).alias("n"))
-
-
-class BroadcastIndex:
+        found = self.suffix_ranges(asked.where("kmer IS NOT NULL").select("kmer").distinct())
+        n = F.when(F.col("kmer") == "", F.lit(self._total)).when(F.col("kmer").isNotNull(), F.coalesce(F.col("h") - F.col("l"), F.lit(0)))
+        return asked.join(found, "kmer", "left").select("qid", "kmer", n.cast("long").alias("n"))
+
+
+def _search(codes: np.ndarray, samples: np.ndarray, start: np.ndarray, power: int, kmers: list[str], total: int) -> np.ndarray:
+    """Occurrences of each k-mer: all are taken back together, a symbol at a time, from the right."""
+    low, high = np.zeros(len(kmers), np.int64), np.full(len(kmers), total, np.int64)
+    size = np.fromiter(map(len, kmers), np.int64, len(kmers))
+    letter = np.full(256, -1, np.int64)
+    letter[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(len(SYMBOLS))
+    text = np.frombuffer("".join(kmers).encode(), np.uint8)
+    end = np.cumsum(size)
+    step = np.arange(1 << power)
+    padded = np.concatenate([codes, np.full(1 << power, -1, np.int8)])
+
+    def rank(c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.int64)
+        for a in range(0, len(i), 1 << 14):  # a window of a bin's codes for each
+            cc, ii = c[a : a + (1 << 14)], i[a : a + (1 << 14)]
+            first = ii >> power << power
+            window = padded[np.minimum(first, len(codes))[:, None] + step] == cc[:, None]
+            out[a : a + (1 << 14)] = samples[ii >> power, cc] + (window & (step < (ii - first)[:, None])).sum(axis=1)
+        return out
+
+    for k in range(1, int(size.max(initial=0)) + 1):
+        at = np.flatnonzero((size >= k) & (low < high))
+        if not len(at):
+            break
+        c = letter[text[end[at] - k]]
+        if k == 1:  # the first symbol's range is its rows
+            low[at], high[at] = start[c], start[c] + samples[-1, c]
+            continue
+        state, back = np.unique(np.column_stack([c, low[at], high[at]]), axis=0, return_inverse=True)
+        back = back.ravel()
+        low[at], high[at] = ((start[state[:, 0]] + rank(state[:, 0], state[:, j]))[back] for j in (1, 2))
+    return np.maximum(0, high - low)
+
+
+class BroadcastIndex(_Loads):
     """Backward search in numpy over a broadcast index, for a BWT of checked size and many queries.
 
-    Takes half a byte a symbol for each of the six sample tables' share and one byte for the symbols; above
-    ``most`` symbols it refuses, and :class:`RelationalIndex` is the way.
+    Takes one byte for each symbol and 48 for each bin; above ``most`` symbols it refuses, and
+    :class:`RelationalIndex` is the way.
     """
 
     def __init__(self, bwt: DataFrame, bin_power: int = BIN_POWER, most: int = 200_000_000) -> None:
@@ -148,29 +229,33 @@ class BroadcastIndex:
     def total_size(self) -> int:
         return self._total
 
+    def constrain_range(self, ranges: DataFrame) -> DataFrame:
+        """One backward step of (qid, sym, l, h)."""
+        state, power = self.state, self.bin_power
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, samples, start = state.value
+            for batch in batches:
+                ends = []
+                for name in ("l", "h"):
+                    out = []
+                    for ch, i in zip(batch.column("sym").to_pylist(), batch.column(name).to_pylist(), strict=True):
+                        c, b = SYMBOLS.index(ch), i >> power
+                        out.append(int(start[c] + samples[b, c] + np.count_nonzero(codes[b << power : i] == c)))
+                    ends.append(pa.array(out, pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("sym"), *ends], names=["qid", "sym", "l", "h"])
+
+        kind = ranges.schema["qid"].dataType.simpleString()
+        return ranges.select("qid", "sym", "l", "h").mapInArrow(step, f"qid {kind}, sym string, l bigint, h bigint")
+
     def count_kmers(self, queries: DataFrame) -> DataFrame:
         state, power, total = self.state, self.bin_power, self._total
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, samples, start = state.value
-
-            def rank(c: int, i: int) -> int:
-                b = i >> power
-                return int(samples[b, c]) + int(np.count_nonzero(codes[b << power : i] == c))
-
             for batch in batches:
-                out = []
-                for kmer in batch.column("kmer").to_pylist():
-                    if kmer is None:
-                        out.append(None)
-                        continue
-                    low, high = 0, total
-                    for ch in reversed(kmer):
-                        if low >= high:
-                            break
-                        c = SYMBOLS.index(ch)
-                        low, high = int(start[c]) + rank(c, low), int(start[c]) + rank(c, high)
-                    out.append(max(0, high - low))
-                yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("kmer"), pa.array(out, pa.int64())], names=["qid", "kmer", "n"])
+                kmers = batch.column("kmer")
+                found = _search(codes, samples, start, power, kmers.fill_null("").to_pylist(), total)
+                yield pa.RecordBatch.from_arrays([batch.column("qid"), kmers, pa.array(found, mask=kmers.is_null().to_numpy(zero_copy_only=False))], names=["qid", "kmer", "n"])
 
         return queries.select("qid", checked_kmer("kmer").alias("kmer")).mapInArrow(search, "qid bigint, kmer string, n bigint")

@@ -421,3 +421,289 @@ def stream_kmer_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     name = "kmers_" + os.path.basename(folder).replace("-", "_")
     run_to_memory(kmer_counts(stream, 8), name, f"{folder}/state")
     return spark.table(name)
+
+
+# Paths for large inputs, files and commands on their own
+
+
+@query(_SORTED)
+def bwt_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The builder for tables that no single task numbers: ranges of the sort keys."""
+    return bwt.build(base_reads(spark, sf), most_in_one_task=0)
+
+
+_HALVES = """halves AS (SELECT rid, s, p, suf, sym, CAST(rid % 2 AS INTEGER) AS src FROM suffixes),
+sided AS (SELECT src, sym, row_number() OVER (PARTITION BY src ORDER BY suf, s, rid) - 1 AS i FROM halves),
+begun AS (SELECT src, sym, row_number() OVER (ORDER BY src, i) - 1 AS pos FROM sided)"""
+
+
+@query(f"WITH {_READS}, {_SUFFIX}, {_HALVES} SELECT row_number() OVER (ORDER BY sym, pos) - 1 AS pos, src FROM begun")
+def interleave_round(spark: SparkSession, sf: str) -> DataFrame:
+    """One round of a merge, from all of the first before all of the second."""
+    first, second = _part(spark, sf, 0, 2), _part(spark, sf, 1, 2)
+    n = first.count()
+    symbols = materialize(first.select(F.lit(0).alias("src"), F.col("pos").alias("i"), "sym").unionAll(second.select(F.lit(1), "pos", "sym")), "merge")
+    offsets = {r.sym: r.offset for r in stats.offset_map(first, second).orderBy("sym").collect()}
+    state = symbols.select(F.when(F.col("src") == 1, F.col("i") + n).otherwise(F.col("i")).alias("pos"), "src")
+    return merge.interleave_step(state, symbols, offsets, list(offsets))
+
+
+#: Bases of the reads of the merge that goes round by round, and how often one occurs.
+_SHORT = 6
+
+
+@query(
+    f"WITH {_READS}, few AS (SELECT rid, substr(s, 1, {_SHORT}) AS s FROM reads), suffixes AS (SELECT rid, s, substr(s, p + 1) AS suf, CASE WHEN p = 0 THEN '$' ELSE substr(s, p, 1) END AS sym"
+    f" FROM (SELECT rid, s, unnest(range(0, length(s) + 1)) AS p FROM few)) SELECT row_number() OVER (ORDER BY suf, s, rid) - 1 AS pos, sym FROM suffixes"
+)
+def merge_bwt_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The merge for inputs that no single task holds, over the first bases of each read: rounds end with the longest repeat."""
+    few = base_reads(spark, sf).select("rid", F.expr(f"substring(s, 1, {_SHORT})").alias("s"))
+    halves = [materialize(bwt.build(few.where(F.col("rid") % 2 == k)), "bwt") for k in (0, 1)]
+    return merge.merge(*halves, most_in_one_task=0)
+
+
+@query(f"{_ALL} SELECT pos, CAST({_CODE} AS INTEGER) AS sym FROM bwt")
+def merge_any_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """A merge of tables whose symbols are numbers."""
+    return merge.merge(*[_part(spark, sf, k, 2).select("pos", alphabet.code("sym").alias("sym")) for k in (0, 1)])
+
+
+@query(f"{_ALL}, {_RUNS} SELECT run_id, sym, start_pos, len FROM runs")
+def runs_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal runs from ordered pieces of at most two symbols, some of them empty."""
+    runs_ = rle.runs(stored_bwt(spark, sf))
+    pieces = runs_.select("run_id", "sym", F.explode(F.expr("transform(sequence(0L, len DIV 2), i -> named_struct('k', i, 'n', if(i < len DIV 2, 2L, len % 2)))")).alias("p"))
+    return rle.merge_runs(pieces.select((F.col("run_id") * (1 << 20) + F.col("p.k")).alias("run_id"), "sym", F.col("p.n").alias("len")))
+
+
+def _collection(spark: SparkSession, sf: str):
+    from lociframe.operators.collection import Collection
+
+    return Collection(spark).load_vector(materialize(rle.to_bytes(rle.runs(stored_bwt(spark, sf))), "rle"))
+
+
+@query(_SORTED)
+def load_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection of run-length bytes."""
+    return _collection(spark, sf).bwt()
+
+
+_TEXT_DIGEST = "count(*) AS symbols, md5(string_agg(sym, '' ORDER BY pos)) AS digest"
+
+
+@query(f"{_ALL} SELECT {_TEXT_DIGEST} FROM bwt")
+def collection_iter(spark: SparkSession, sf: str) -> DataFrame:
+    """All symbols in order, as a caller gets them one by one."""
+    import hashlib
+
+    digest, n = hashlib.md5(), 0
+    for c in _collection(spark, sf).iter():
+        digest.update(c.encode())
+        n += 1
+    return spark.createDataFrame([(n, digest.hexdigest())], "symbols bigint, digest string")
+
+
+@query(f"{_ALL}, {_RUNS} SELECT count(*) AS runs, md5(string_agg(sym || len, ',' ORDER BY run_id)) AS digest FROM runs")
+def collection_run_iter(spark: SparkSession, sf: str) -> DataFrame:
+    """All runs in order, as a caller gets them one by one."""
+    import hashlib
+
+    parts = [f"{c}{n}" for c, n in _collection(spark, sf).run_iter()]
+    return spark.createDataFrame([(len(parts), hashlib.md5(",".join(parts).encode()).hexdigest())], "runs bigint, digest string")
+
+
+@query("SELECT * FROM (VALUES (0, CAST(0 AS BIGINT), '')) t(reads, total, content)")
+def empty_collection(spark: SparkSession, sf: str) -> DataFrame:
+    from lociframe.operators.collection import Collection
+
+    c = Collection(spark)
+    return spark.createDataFrame([(c.count, c.total_size(), c.to_string())], "reads int, total bigint, content string")
+
+
+@query(f"{_ALL}, {_RUNS} SELECT run_id, CAST({_CODE} + 8 * len AS INTEGER) AS packed, sym, len FROM runs WHERE len < 8192")
+def packed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs as 16 bits and back."""
+    runs_ = rle.runs(stored_bwt(spark, sf)).where("len < 8192")
+    packed = runs_.select("run_id", alphabet.pack_run("sym", "len").alias("packed"))
+    return packed.select("run_id", "packed", alphabet.unpack_run("packed").alias("r")).select("run_id", "packed", "r.sym", "r.len")
+
+
+@query(ORACLE_SQL["fm_sampled"].replace("// 256", "// 64").replace("* 256", "* 64").replace("/ 256.0", "/ 64.0"))
+def fm_sampled_64(spark: SparkSession, sf: str) -> DataFrame:
+    """The sampled index with another distance of its samples."""
+    return fm.sampled(rle.runs(stored_bwt(spark, sf)), bin_power=6)
+
+
+_STEP = ORACLE_SQL["constrain_range_step"]
+
+
+def _step(spark: SparkSession, sf: str, kind: type, power: int) -> DataFrame:
+    key = F.col("c_custkey")
+    ranges = table(spark, sf, "customer").select(key.alias("qid"), F.substring(F.lit("ACGNT"), (key % 5).cast("int") + 1, F.lit(1)).alias("sym"), key.alias("l"), (key + key % 97).alias("h"))
+    return kind.load_vector(materialize(rle.to_bytes(rle.runs(stored_bwt(spark, sf))), "rle"), power).constrain_range(ranges)
+
+
+@query(_STEP)
+def constrain_range_relational(spark: SparkSession, sf: str) -> DataFrame:
+    return _step(spark, sf, fm.RelationalIndex, 8)
+
+
+@query(_STEP)
+def constrain_range_broadcast(spark: SparkSession, sf: str) -> DataFrame:
+    return _step(spark, sf, fm.BroadcastIndex, 5)
+
+
+@query(f"{_ALL}, placed AS (SELECT row_number() OVER (ORDER BY suf, s, rid) - 1 AS pos, suf FROM suffixes) SELECT substr(suf, 1, 3) AS kmer, min(pos) AS l, max(pos) + 1 AS h FROM placed WHERE length(suf) >= 3 GROUP BY 1")
+def kmer_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranges of all 3-mers that occur, which a search keeps for all its queries."""
+    index = fm.RelationalIndex(stored_bwt(spark, sf))
+    letters = spark.createDataFrame([(c,) for c in "ACGNT"], "c string")
+    kmers = letters.select("c").crossJoin(letters.toDF("d")).crossJoin(letters.toDF("e")).select(F.concat("c", "d", "e").alias("kmer"))  # 125 rows
+    return index.suffix_ranges(kmers).where("length(kmer) = 3")
+
+
+def _fasta(spark: SparkSession, sf: str, odd: bool = False) -> str:
+    """All reads as one plain FASTA file, in order; odd: with lower case, U for T, and bytes that are no base."""
+    path = f"{_folder(spark)}/reads.fa"
+    with open(path, "wb") as f:
+        for r in base_reads(spark, sf).orderBy("rid").toLocalIterator():
+            s = r.s.encode()
+            if odd:
+                s = (s.lower().replace(b"t", b"u") if r.rid % 3 == 0 else s).replace(b"N", (b"-", b"\xff", b"x")[r.rid % 3])
+            f.write(b">%d\n%s\n%s\n" % (r.rid, s[:20], s[20:]))
+    return path
+
+
+@query(_SORTED)
+def fastx_odd_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequence bytes of any value, each one symbol, read by small ranges of bytes."""
+    from lociframe.sources import fastx
+
+    return bwt.build(fastx.read_fastx(spark, [_fasta(spark, sf, odd=True)], chunk=4096))
+
+
+@query(_SORTED)
+def cli_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The command that makes a file of a FASTA file, and that file read back."""
+    from lociframe import cli
+    from lociframe.sources import npy
+
+    source = _fasta(spark, sf)
+    if cli.build([source], f"{source}.npy", spark):
+        raise RuntimeError("the command failed")
+    return rle.expand(rle.from_bytes(materialize(npy.read_npy(spark, f"{source}.npy"), "rle")))
+
+
+@query(f"{_ALL} SELECT {_TEXT_DIGEST} FROM bwt")
+def cli_build_text(spark: SparkSession, sf: str) -> DataFrame:
+    """What the command prints where no file is named."""
+    import contextlib
+    import hashlib
+    import io
+
+    from lociframe import cli
+
+    printed = io.StringIO()
+    with contextlib.redirect_stdout(printed):
+        if cli.build([_fasta(spark, sf)], None, spark):
+            raise RuntimeError("the command failed")
+    text = printed.getvalue().removesuffix("\n")
+    return spark.createDataFrame([(len(text), hashlib.md5(text.encode()).hexdigest())], "symbols bigint, digest string")
+
+
+@query(_SORTED)
+def cli_convert(spark: SparkSession, sf: str) -> DataFrame:
+    """The command that turns text, here one endless line from standard input, into a file, and that file read back."""
+    import io
+
+    from lociframe import cli
+    from lociframe.sources import npy
+
+    out = f"{_folder(spark)}/bwt.npy"
+    if cli.convert(None, out, spark, io.BytesIO(bwt.as_string(base_bwt(spark, sf)).encode())):
+        raise RuntimeError("the command failed")
+    return rle.expand(rle.from_bytes(materialize(npy.read_npy(spark, out), "rle")))
+
+
+@query("SELECT * FROM (VALUES ('build without input', 66), ('build without output', 73), ('convert without input', 66), ('convert without output', 66), ('convert another symbol', 74), ('build another file', 74)) t(command, status)")
+def cli_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Exit codes of commands that can't do what they are asked."""
+    import contextlib
+    import io
+
+    from lociframe import cli
+
+    folder = _folder(spark)
+    good, bad = f"{folder}/good.txt", f"{folder}/bad.txt"
+    with open(good, "w") as f:
+        f.write("A$\nC$\n")
+    with open(bad, "w") as f:
+        f.write("A$X\n")
+    with contextlib.redirect_stderr(io.StringIO()):
+        rows = [
+            ("build without input", cli.build([f"{folder}/none"], f"{folder}/out.npy", spark)),
+            ("build without output", cli.build([good], f"{folder}/none/out.npy", spark)),
+            ("convert without input", cli.convert(f"{folder}/none", f"{folder}/out.npy", spark)),
+            ("convert without output", cli.convert(good, f"{folder}/none/out.npy", spark)),
+            ("convert another symbol", cli.convert(bad, f"{folder}/out.npy", spark)),
+            ("build another file", cli.build([bad], f"{folder}/out.npy", spark)),
+        ]
+    return spark.createDataFrame(rows, "command string, status int")
+
+
+@query("SELECT * FROM (VALUES ('as written', ''), ('cut off', 'EOFError'), ('longer', 'EOFError'), ('no file', 'ValueError')) t(content, error)")
+def npy_size_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector's length and its file's size must agree."""
+    from lociframe.sources import npy
+
+    whole = npy.header(4) + bytes([1, 9, 25, 8])
+    rows = []
+    for name, content in (("as written", whole), ("cut off", whole[:-1]), ("longer", whole + b"x"), ("no file", whole[:5])):
+        try:
+            npy.parse_header(content[: npy.HEADER], len(content))
+            rows.append((name, ""))
+        except (EOFError, ValueError) as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "content string, error string")
+
+
+@query(f"{_ALL}, {_COUNTS} SELECT sym, cnt FROM counts")
+def conversion_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols counted while a BWT is turned into run-length bytes."""
+    from pyspark.sql import Observation
+
+    met = Observation("symbols")
+    materialize(rle.to_bytes(rle.runs(materialize(stats.observed(base_bwt(spark, sf), met), "bwt"))), "rle")
+    return spark.createDataFrame(list(met.get.items()), "sym string, cnt bigint")
+
+
+@query(f"WITH {_READS} SELECT CAST(count(*) AS BIGINT) AS reads, CAST(sum(length(s) + 1) AS BIGINT) AS symbols FROM reads")
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics that a stream reports of its micro-batches, added up."""
+    from lociframe.streaming.inserts import observe_counts
+
+    folder = _folder(spark)
+    rows = base_reads(spark, sf)
+    for k in range(3):
+        rows.where(F.col("rid") % 3 == k).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema("rid bigint, s string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    running = observe_counts(stream).writeStream.format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    met = [p.observedMetrics["reads"] for p in running.recentProgress if p.numInputRows]
+    return spark.createDataFrame([(sum(m["reads"] for m in met), sum(m["symbols"] for m in met))], "reads bigint, symbols bigint")
+
+
+def long_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts as reads."""
+    return reads.from_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(
+    ORACLE_SQL["text_windows"].split(", parts AS")[0].split("FROM documents)")[0]
+    + "FROM documents) SELECT substr('$ACGNT', c, 1) AS sym, sum(CASE WHEN c = 1 THEN 1 ELSE length(whole) - length(replace(whole, substr('$ACGNT', c, 1), '')) END)::BIGINT AS cnt FROM reads, range(1, 7) r(c) GROUP BY c"
+)
+def long_read_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of the BWT of whole texts, without building it."""
+    counts = long_reads(spark, sf).agg(F.count("*").alias("c0"), *[F.sum(F.length("s") - F.length(F.translate("s", c, ""))).alias(f"c{i}") for i, c in enumerate(_SYMBOLS) if i])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("sym"), F.col(f"c{i}").cast("long").alias("cnt")) for i, c in enumerate(_SYMBOLS)])))

@@ -260,3 +260,59 @@ def test_streams(spark, tmp_path):
     assert {tuple(x) for x in spark.table("counts_").collect()} == {tuple(x) for x in kmer.spectrum(r, 4).collect()}
     assert kmer.canonical_spectrum(r, 4).agg(F.sum("n")).first()[0] == 360
     assert kmer.top_kmers(r, 2, 3).count() == 3
+
+
+def test_fastx_ranges_and_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    fa, fq, odd = (str(tmp_path / n) for n in ("a.fa", "b.fq", "odd.fa"))
+    rs = ["".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    with open(fa, "w") as f:
+        f.write("".join(f">{i}\n{s[:15]}\n{s[15:]}\n" for i, s in enumerate(rs)))
+    with open(fq, "w") as f:  # qualities that look like headers and plus lines
+        f.write("".join(f"@{i}\n{s}\n+\n{''.join(rng.choice('@+>I') for _ in s)}\n" for i, s in enumerate(rs)))
+    for chunk in (64, 333, 1 << 20):
+        got = fastx.read_fastx(spark, [fa, fq], chunk).orderBy("rid").collect()
+        assert [r.s for r in got] == rs + rs and len({r.rid for r in got}) == 400
+    with open(odd, "wb") as f:
+        f.write(b">1\nA\xc3\xa9C\n>2\nA\xffc-\n>3\nuU\x80.\n")
+    assert [r.s for r in fastx.read_fastx(spark, [odd, f"file:{odd}"]).orderBy("rid").collect()] == ["ANNC", "ANCN", "TTNN"] * 2
+
+
+def test_text_bwt_of_one_line(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ascii_bwt, "PIECE", 7)
+    monkeypatch.setattr(ascii_bwt, "CHUNK", 21)
+    rng = random.Random(6)
+    text = "".join(rng.choice("$ACGNT") for _ in range(200))
+    path = str(tmp_path / "one.txt")
+    for written in (text, "\n".join([text[:50], "", text[50:51], text[51:]]) + "\n"):
+        open(path, "w").write(written)
+        assert bwt.as_string(ascii_bwt.read_ascii(spark, path)) == text
+    open(path, "w").close()
+    assert ascii_bwt.read_ascii(spark, path).count() == 0
+
+
+def test_indexes_agree(spark, tmp_path):
+    built = ordered.materialize(bwt.build(of(spark, "F6")))
+    text = bwt.as_string(built)
+    kmers = ["", "A", "$", "GTA", "$A", "A$", "ACGACGACG", "NN", "G$G", "TTTT", None, "ACG", "ACG"]
+    queries = spark.createDataFrame(list(enumerate(kmers)), "qid long, kmer string")
+    want = [None if k is None else oracle.count(SETS["F6"], k) if hasattr(oracle, "count") else None for k in kmers]
+    rows = ordered.materialize(rle.to_bytes(rle.runs(built)))
+    answers = []
+    for kind in (fm.RelationalIndex, fm.BroadcastIndex):
+        for power in (2, 8):
+            index = kind.load_vector(rows, power)
+            got = [r.n for r in index.count_kmers(queries).orderBy("qid").collect()]
+            assert index.total_size() == len(text) and got[10] is None and got[0] == len(text)
+            answers.append(got)
+            ranges = spark.createDataFrame([(i, c, i, len(text)) for i in range(len(text)) for c in "ACGT$N"], "qid long, sym string, l long, h long")
+            first = {c: sum(x < c for x in text) for c in "$ACGNT"}
+            assert sorted(map(tuple, index.constrain_range(ranges).collect())) == sorted((i, c, first[c] + text[:i].count(c), first[c] + text.count(c)) for i in range(len(text)) for c in "ACGT$N")
+    assert all(a == answers[0] for a in answers)
+    assert want[1] is None or answers[0] == want
+
+
+def test_long_reads_are_built_by_doubling(spark):
+    rng = random.Random(7)
+    rs = ["".join(rng.choice("ACG") for _ in range(1500)), "ACG" * 300]
+    assert bwt.as_string(bwt.build_any(of(spark, rs))) == oracle.bwt(rs)
