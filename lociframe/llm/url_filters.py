@@ -12,8 +12,8 @@ from lociframe.llm.common import durable, free_name, pick
 HOT_SHARE = 256
 #: Keys that a capture looks up at most: the page, the host and parent domains. Domain names have 127 labels at most.
 KEYS = 128
-#: Parts that the captures of a hot key are dealt into.
-SALTS = 64
+#: Parts that the captures of a hot key are dealt into at least, and captures of a part.
+SALTS, SALTED = 64, 200_000
 #: Actions of list entries; where a key has several on one date, the largest rank holds.
 ACTIONS = ("remove", "allow", "block")
 
@@ -66,9 +66,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     ``undated`` for a null date, ``invalid`` for a URL that is null or has no host. Every row of ``captures`` gives
     one row, repeated rows and null ids too; an empty list gives ``none`` everywhere.
 
-    One equi-join on the key with the interval as its condition: a capture meets at most one interval a key. Keys
-    that many captures share are found by a partial count, and their captures are dealt over SALTS parts, to
-    which their few intervals are copied.
+    An as-of join: intervals and captures of a key lie in one order of dates, and each capture carries the last
+    interval that began on or before its day; it decides if it has not ended. So a capture makes one row a key, however
+    many dates the key has. Keys that many captures share are found by a partial count, and their captures are
+    dealt over parts, SALTED captures each, to which their intervals, one a day at most, are copied.
     """
     rows = pick(captures, id_col, url, fetched).toDF("_id", "_url", "_on").select("_id", host_of(F.col("_url")).alias("host"), page_of(F.col("_url")).alias("_page"), F.col("_on").cast("date").alias("_on"), F.monotonically_increasing_id().alias("_row"))
     rows = durable(rows, "captures")
@@ -78,20 +79,20 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     )
     looked = rows.where(F.col("host").isNotNull() & F.col("_on").isNotNull()).select("_row", "_on", F.posexplode(keys).alias("_order", "key"))
     total = rows.count()
-    hot = looked.groupBy("key").count().where(F.col("count") * HOT_SHARE > F.lit(max(total, 4 * HOT_SHARE))).select("key", F.lit(True).alias("_hot"))
+    hot = looked.groupBy("key").count().where(F.col("count") * HOT_SHARE > F.lit(max(total, 4 * HOT_SHARE)))
+    hot = hot.select("key", F.greatest(F.lit(SALTS), F.ceil(F.col("count") / SALTED)).cast("int").alias("_parts"))
     hot = F.broadcast(durable(hot, "hot-keys"))  # HOT_SHARE * KEYS rows at most
-    spread = looked.join(hot, "key", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    intervals = (
-        validity_intervals(entries)
-        .join(hot, "key", "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    asked = looked.join(hot, "key", "left").select("key", F.pmod(F.xxhash64("_row"), parts).cast("int").alias("_salt"), F.col("_on").alias("_at"), F.lit(1).alias("_kind"), "_row", "_order", F.lit(None).cast("struct<action:string,valid_from:date,valid_to:date>").alias("_entry"))
+    listed = validity_intervals(entries).join(hot, "key", "left")
+    listed = listed.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"), F.col("valid_from").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_row"), F.lit(None).cast("int").alias("_order"), F.struct("action", "valid_from", "valid_to").alias("_entry"))
+    so_far = Window.partitionBy("key", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = (
-        spread.join(intervals, ["key", "_salt"])
-        .where((F.col("_on") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_on") < F.col("valid_to"))))
+        asked.unionByName(listed)
+        .withColumn("_held", F.last("_entry", ignorenulls=True).over(so_far))
+        .where("_kind = 1 AND _held IS NOT NULL AND (_held.valid_to IS NULL OR _at < _held.valid_to)")
         .groupBy("_row")
-        .agg(F.min(F.struct("_order", "key", "action", "valid_from")).alias("_best"))
+        .agg(F.min(F.struct("_order", "key", F.col("_held.action").alias("action"), F.col("_held.valid_from").alias("valid_from"))).alias("_best"))
     )
     verdict = F.when(F.col("host").isNull(), "invalid").when(F.col("_on").isNull(), "undated").otherwise(F.coalesce(F.col("_best.action"), F.lit("none")))
     return rows.join(met, "_row", "left").select(

@@ -89,3 +89,14 @@ def test_query_matches_sql(spark):
     df = op9_temporal_url_filters(spark, sf)
     assert sorted(map(key, df.select(*cols).collect())) == want
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_a_key_with_many_dates(spark):
+    """Rows in step with the captures, whatever the number of dates of their key."""
+    entries = [("host", "busy.example", ("block", "allow", "remove")[i % 3], on(i)) for i in range(600)]
+    rows = [(i, "http://busy.example/p", on(i % 700 - 20)) for i in range(4000)]
+    got = {r.page_id: (r.verdict, r.rule_from) for r in judge(spark, rows, entries).collect()}
+    for i, _, day in rows:
+        n = min((day - DAY).days, 599)
+        want = ("none", None) if n < 0 or n % 3 == 2 else (("block", "allow")[n % 3], on(n))
+        assert got[i] == want
