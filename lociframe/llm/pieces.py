@@ -13,12 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm.common import durable, pick
+from lociframe.llm.common import durable, partitions, pick
 from lociframe.llm.words import filled, mix, portions
 
 SPACE = "▁"
 #: Characters of a chunk; a text of more than one chunk is giant and is cut.
 CHUNK = 1 << 15
+#: Chunks of giant texts that a task solves, about.
+CHUNKS_A_TASK = 64
 #: Stretches whose paths a task keeps; a cache only, results don't depend on it.
 CACHED = 300_000
 NEVER = float("-inf")
@@ -589,6 +591,33 @@ def _encoder(vocabulary, columns: list[str]) -> object:
     return run
 
 
+def _cutter(chunk: int, margin: int) -> object:
+    """Chunks of each text with ``margin`` characters on either side, cut in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text"), strict=True):
+                whole = SPACE + text.as_py().replace(" ", SPACE)
+                begins = range(0, len(whole), chunk)
+                for first in range(0, len(begins), 64):
+                    group = begins[first : first + 64]
+                    skips = [max(0, a - margin) for a in group]
+                    highs = [min(a + chunk, len(whole)) for a in group]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([row] * len(group), pa.int64()),
+                            pa.array([a // chunk for a in group], pa.int32()),
+                            pa.array([whole[skip : high + margin] for skip, high in zip(skips, highs, strict=True)]),
+                            pa.array([a - skip for a, skip in zip(group, skips, strict=True)], pa.int32()),
+                            pa.array([high - skip for high, skip in zip(highs, skips, strict=True)], pa.int32()),
+                            pa.array(skips, pa.int64()),
+                        ],
+                        names=["_row", "k", "part", "low", "high", "skip"],
+                    )
+
+    return run
+
+
 def _pack(states: list) -> list[int]:
     return [x for s in states for x in s]
 
@@ -656,12 +685,10 @@ def encode_texts(docs: DataFrame, model_path: str | None = None, key: str = "doc
     if giant.isEmpty():
         return short.select(F.col("_id").alias(key), F.col("_text").alias(text), "ids")
     margin = max(map(len, shared.value.ids), default=1)
-    whole = giant.select("_row", F.concat(F.lit(SPACE), F.translate("_text", " ", SPACE)).alias("_t"))
-    at = whole.select("_row", "_t", F.length("_t").alias("_n"), F.explode(F.sequence(F.lit(0), F.ceil(F.length("_t") / chunk).cast("int") - 1)).alias("k"))
-    skip = F.greatest(F.col("k") * chunk - margin, F.lit(0))
-    high = F.least((F.col("k") + 1) * chunk, F.col("_n"))
-    parts = at.select("_row", "k", F.substring("_t", skip + 1, F.least(high + margin, F.col("_n")) - skip).alias("part"), (F.col("k") * chunk - skip).alias("low"), (high - skip).alias("high"), skip.alias("skip"))
-    parts = durable(parts.repartition("_row", "k"), "chunks")
+    chunks = giant.agg(F.sum(F.ceil((F.length("_text") + 1) / chunk))).first()[0]
+    tasks = max(partitions(docs.sparkSession), -(-chunks // CHUNKS_A_TASK))  # fixed: chunks are light in bytes and heavy in work
+    cut = giant.select("_row", "_text").mapInArrow(_cutter(chunk, margin), "_row bigint, k int, part string, low int, high int, skip bigint")
+    parts = cut.repartition(tasks, "_row", "k")
     matrices = parts.mapInArrow(_transfers(shared), "_row bigint, k int, fronts array<bigint>, backs array<bigint>, matrix array<double>")
     states = matrices.groupBy("_row").applyInArrow(_choose, "_row bigint, k int, front_begin bigint, front_end bigint, back_begin bigint, back_end bigint")
     traced = parts.join(states, ["_row", "k"]).mapInArrow(_traces(shared), "_row bigint, k int, ids array<int>")

@@ -106,3 +106,25 @@ def test_query(spark, library):
         ids = library.encode(t)
         assert got[k].n_ids == len(ids) and got[k].round_trip
         assert got[k].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_giant_texts_at_production_size(spark, library):
+    rng = random.Random(4)
+    words = ["the", "naïve", "Zürich", "https://a.b/c?d=e", "12,345.67", "日本語", "x" * 90, "e\u0301", "\n", "of", "data", "piece"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(n)) for i, n in ((1, 9000), (2, 40_000), (3, 7000))}
+    texts[4] = "ab" * 40_000
+    assert all(len(t) > 1 << 15 for t in texts.values())
+    got = {r.doc_id: r.ids for r in encode_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {k: library.encode(t) for k, t in texts.items()}
+
+
+def test_chunks_cover_a_text():
+    from lociframe.llm.pieces import _cutter
+
+    text = "a b" * 700
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8], pa.int64()), pa.array([text, "é"])], names=["_row", "_text"])
+    rows = [r for b in _cutter(10, 4)(iter([batch])) for r in b.to_pylist()]
+    own = [r for r in rows if r["_row"] == 7]
+    assert [r["k"] for r in own] == list(range(len(own))) and [r["k"] for r in rows if r["_row"] == 8] == [0]
+    assert "".join(r["part"][r["low"] : r["high"]] for r in own) == prepared(text)
+    assert all(prepared(text)[r["skip"] : r["skip"] + len(r["part"])] == r["part"] for r in own)
