@@ -29,6 +29,8 @@ WINDOW, NEAR = 16, 1
 SLOTS = 1 << 21
 #: Nodes of a posting list that one task holds at once, and parts that hot keys of a join are dealt into.
 SLAB, SALTS = 512, 16
+#: 64-bit words of a set's parity bits.
+PARITY = 8
 #: A set that more than one row in HOT_SHARE has is hot.
 HOT_SHARE = 1000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -264,13 +266,22 @@ def prefix_lengths(n: int, similarity: int) -> tuple[int, int]:
     return n - -(-similarity * n // 100) + 1, n - -(-2 * similarity * n // (100 + similarity)) + 1
 
 
+_BITS = [f"z{i}" for i in range(PARITY)]
+
+
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """PARITY words of 64 bits: whether an odd number of shingles falls to each bit. Two sets' words differ in no more bits than the sets have shingles apart."""
+    odd = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(counts, similarity: int) -> object:
-    """Postings (token, node, c, n, at): the rarest shingles of each set, as many as a link needs to show in."""
+    """Postings (token, node, c, n, at, z0 ...): the rarest shingles of each set, as many as a link needs to show in, and its parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         for batch in batches:
-            token, at, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], []
+            token, at, size, bits = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [], [np.zeros((0, PARITY), np.int64)]
             for v in batch.column("shingles"):
                 h = np.frombuffer(v.as_buffer(), "<u8")
                 weight = often[h % np.uint64(SLOTS)]
@@ -279,9 +290,11 @@ def _prefixes(counts, similarity: int) -> object:
                 token.append(h[order[place]])
                 at.append(place)
                 size.append(len(place))
+                bits.append(np.tile(parity_bits(h), (len(place), 1)))
             row = pa.array(np.repeat(np.arange(batch.num_rows), size))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(token).view(np.int64)), *(batch.column(c).take(row) for c in ("node", "c", "n")), pa.array(np.concatenate(at))], names=["token", "node", "c", "n", "at"]
+                [pa.array(np.concatenate(token).view(np.int64)), *(batch.column(c).take(row) for c in ("node", "c", "n")), pa.array(np.concatenate(at)), *map(pa.array, np.concatenate(bits).T.copy())],
+                names=["token", "node", "c", "n", "at", *_BITS],
             )
 
     return run
@@ -293,8 +306,9 @@ def crowded_candidates(sets: DataFrame, labels: DataFrame, crowded: DataFrame, s
     An exact prefix filter, whatever the sizes of regions. Shingles are put in one order, rare ones first. Two sets
     that link share one among the first few of each, at places that leave enough shingles behind them to share.
     Shingles that many sets share come last and are in no prefix of sets which differ by more than a link allows,
-    so what is compared grows with the sets rather than with their square. Members of a posting list meet
-    those outside its largest component, SLAB at a time.
+    so what is compared grows with the sets rather than with their square. Of the pairs that meet, parity bits drop
+    those that are too far apart to link. Members of a posting list meet those outside its largest component, SLAB
+    at a time.
     """
     spark = sets.sparkSession
     pool = sets.join(crowded, "node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("c"), (F.length("shingles") / 8).cast("int").alias("n"), "shingles")
@@ -302,11 +316,11 @@ def crowded_candidates(sets: DataFrame, labels: DataFrame, crowded: DataFrame, s
     met = pool.select("shingles").mapInArrow(_tally, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # SLOTS rows at most
     counts[met["slot"].to_numpy()] = met["n"].to_numpy()
     shared = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-    posted = durable(pool.mapInArrow(_prefixes(shared, similarity), "token bigint, node bigint, c bigint, n int, at int"), "postings")
+    posted = durable(pool.mapInArrow(_prefixes(shared, similarity), "token bigint, node bigint, c bigint, n int, at int, " + ", ".join(f"{z} bigint" for z in _BITS)), "postings")
     sizes = posted.groupBy("token", "c").agg(F.count("*").alias("_m")).groupBy("token").agg(F.max(F.struct("_m", "c")).alias("_best"), F.sum("_m").alias("_all"), F.count("*").alias("_parts"))
     open_ = sizes.where("_parts > 1").select("token", F.col("_best.c").alias("_main"), F.ceil(F.col("_all") / SLAB).cast("int").alias("_slabs"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     rows = durable(posted.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)).cast("int")).join(open_, ["token", "_salt"]).drop("_salt"), "open-postings")
-    names = ("node", "c", "n", "at")
+    names = ("node", "c", "n", "at", *_BITS)
     held = rows.select("token", F.pmod(F.xxhash64("node"), F.col("_slabs")).cast("int").alias("_slab"), *[F.col(c).alias(f"y_{c}") for c in names])
     seek = rows.where("c <> _main").select("token", F.explode(F.sequence(F.lit(0), F.col("_slabs") - 1)).alias("_slab"), *[F.col(c).alias(f"x_{c}") for c in names])
     least = f"y_n - int(ceil(2 * {similarity} * y_n / {100 + similarity}.0)) + 1"
@@ -315,6 +329,8 @@ def crowded_candidates(sets: DataFrame, labels: DataFrame, crowded: DataFrame, s
             "x_c <> y_c",
             f"100 * least(x_n, y_n) >= {similarity} * greatest(x_n, y_n)",
             f"{100 + similarity} * least(x_n - x_at, y_n - y_at) >= {similarity} * (x_n + y_n)",
+            # Shingles apart, at least as many as bits that differ: union less intersection.
+            f"{100 + similarity} * (" + " + ".join(f"bit_count(x_{z} ^ y_{z})" for z in _BITS) + f") <= {100 - similarity} * (x_n + y_n)",
             f"((y_n <= x_n AND y_at < {least}) OR (x_n <= y_n AND x_at < {least.replace('y_n', 'x_n')}))",
         ]
     )
