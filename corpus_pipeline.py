@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lociframe.llm import minhash, packing, pii, quality, toxicity
 from lociframe.llm.common import checkpoint_dir
 
+#: Similarity, in hundredths, from which the near_dedup stage links documents.
+SIMILARITY = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,8 +33,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return minhash.keep_one_of_each(docs)
+    """Of each group of near-duplicates the document with the smallest id stays. Documents of a similarity of 0.8 or more link."""
+    return minhash.keep_one_of_each(docs, similarity=SIMILARITY)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
