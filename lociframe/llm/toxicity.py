@@ -265,13 +265,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05) -> tuple[np.ndarra
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = LABELLED_ROWS) -> ToxicityModel:
     """Learn from the labelled rows that aren't held out; about ``bound`` of them come to the driver, their texts whole.
 
-    Null keys and labels teach nothing. A key with several labels has their mean, toxic at one half or more.
+    Null keys and labels teach nothing. A key with several labels has their mean, toxic at one half or more; of a key
+    with several rows one text is learned from, the least by a hash, so no key fills the driver. Empty tables and
+    labels of one class give a model with one score below one half, or the smoothed share of toxic labels; other columns are
+    not looked at.
     """
     marked = labels.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("_label")).where("_label IS NOT NULL AND _id IS NOT NULL")
     share = min(1.0, bound / max(1, marked.count()))
     mine = marked.where((remainder(F.col("_id"), FOLDS) != HELD_OUT) & share_of(F.xxhash64("_id", F.lit("toxic")), share))
     mine = mine.groupBy("_id").agg(F.avg("_label").alias("_label"))
     rows = pick(docs, key, text).toDF("_id", "_text").join(F.broadcast(mine), "_id")  # about ``bound`` keys
+    least = F.struct(F.xxhash64("_text", F.lit("least")), "_text")
+    rows = rows.groupBy("_id").agg(F.min_by("_text", least).alias("_text"), F.first("_label").alias("_label"))
     table = rows.select("_text", "_label", F.xxhash64("_id", F.lit("order")).alias("_at")).toArrow().sort_by([("_at", "ascending"), ("_text", "ascending")])
     return learn(filled(table["_text"].combine_chunks()), table["_label"].to_numpy() >= 0.5)
 
@@ -316,7 +321,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, all columns, whose score is below ``threshold``.
+
+    Null and empty texts have the score of a text without words. Null and repeated keys and repeated rows are judged row by
+    row; an empty table gives an empty one; columns may have any names, ``score`` among them. No shuffle.
+    """
     names = docs.columns
     shown = [f"_c{i}" if n != text else "_text" for i, n in enumerate(names)]
     rows = docs.toDF(*shown)

@@ -1,11 +1,15 @@
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 
 from lociframe.llm.common import crc_remainder
-from lociframe.llm.toxicity import Chain, drop_toxic, learn, op8_crf_toxicity, score_toxicity
+from lociframe.llm.toxicity import PREFIXES, SUFFIXES, Chain, drop_toxic, learn, op8_crf_toxicity, score_toxicity
 
 
 def test_marginals_match_enumeration():
@@ -73,3 +77,37 @@ def test_query(spark):
     assert all(r.held_out == (crc_remainder(r.doc_id, 5) == 0) and r.predicted == int(r.score >= 0.5) for r in got)
     held = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
     assert sum(a == b for a, b in held) >= 0.93 * len(held)
+
+
+def plain_score(model, text):
+    """A document's score by loops: weights from a dictionary, sums over both tags word by word, logistic of the summary."""
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    x = []
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        core = regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", word).lower()
+        names = [f"w0:{core}"] if core else []
+        names += [f"p{k}:{core[:k]}" for k in PREFIXES if len(core) >= k] + [f"s{k}:{core[-k:]}" for k in SUFFIXES if len(core) >= k]
+        x.append(math.exp(min(30, max(-30, model.bias + sum(weights.get(xxhash.xxh3_64_intdigest(n.encode()), 0) for n in names)))))
+    t = np.exp(model.transition)
+    ahead, behind = [], [np.ones(2)]
+    for i, odds in enumerate(x):
+        now = np.array([1.0, math.exp(model.start)]) if i == 0 else ahead[-1] @ t
+        ahead.append(now * [1.0, odds] / (now * [1.0, odds]).sum())
+    for odds in reversed(x[1:]):
+        before = t @ (behind[-1] * [1.0, odds])
+        behind.append(before / before.sum())
+    p = [float((a * b)[1] / (a * b).sum()) for a, b in zip(ahead, reversed(behind))]
+    total, peak, n = sum(p), max(p, default=0.0), len(p)
+    share = total / (n + 20)
+    told = [math.log(total + 0.05), share, math.log(share + 1e-4), peak, math.log1p(n), min(total, 3)]
+    z = model.logistic[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.logistic[1:], told, model.mean, model.scale))
+    return 1 / (1 + math.exp(-min(40, max(-40, z))))
+
+
+def test_document_scores_match_plain_loops(spark):
+    rng = random.Random(2)
+    texts, toxic = texts_of(600, rng)
+    model = learn(pa.array(texts[:400]), toxic[:400])
+    rows = list(enumerate([*texts[400:], None, "", "!!", "nasty", "(Vileword) Éa--", "grim " * 3000]))
+    got = {r.doc_id: r.score for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model).collect()}
+    assert len(got) == len(rows) and all(abs(got[i] - plain_score(model, t)) < 1e-8 for i, t in rows)
