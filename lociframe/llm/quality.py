@@ -94,7 +94,11 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and COUNTS of every whole text. Null and empty texts: all 0. No shuffle."""
+    """``key`` and COUNTS of every whole text.
+
+    Null and empty texts: all 0. Null and repeated keys stay, one row a row; an empty table gives an empty one; other columns
+    are left out. No shuffle.
+    """
     rows = pick(docs, key, text).toDF(key, "_text")
     return rows.mapInArrow(_count_rows, f"`{key}` {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
@@ -239,13 +243,15 @@ def learn_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     """A list learned from labelled whole texts; the counts of about ``bound`` rows come to the driver.
 
     Texts that the base fails anyway teach nothing and are left out, as are null keys and labels; a key with
-    several labels has their mean, bad below one half.
+    several labels has their mean, bad below one half; of a key with several rows one is learned from, that of the least
+    counts, so no key fills the driver. Without labels no rule is learned.
     """
     marked = labels.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("_label")).where("_label IS NOT NULL AND _id IS NOT NULL")
     share = min(1.0, bound / max(1, marked.count()))
     mine = marked.where(share_of(F.xxhash64("_id", F.lit("learn")), share)).groupBy("_id").agg(F.avg("_label").alias("_label"))
     rows = pick(docs, key, text).toDF("_id", "_text").join(F.broadcast(mine), "_id")  # about ``bound`` keys
     counted = count_texts(rows.select("_id", "_text"), "_id", "_text").where(~base_failed()).join(F.broadcast(mine), "_id")
+    counted = counted.groupBy("_id").agg(F.min(F.struct(*COUNTS)).alias("_counts"), F.first("_label").alias("_label")).select("_id", "_counts.*", "_label")
     table = counted.toArrow().sort_by([("_id", "ascending"), *((c, "ascending") for c in COUNTS)])
     return learn_decision_list({c: table[c].to_numpy() for c in COUNTS}, table["_label"].to_numpy() < 0.5)
 
@@ -263,7 +269,11 @@ def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the base and that no rule marks. One pass, no shuffle."""
+    """The rows of ``docs``, all columns, that pass the base and that no rule marks.
+
+    Null and empty texts fail the base and go. Null keys and repeated rows are judged row by row; an empty table gives an
+    empty one; columns may have any names, those of COUNTS among them. One pass, no shuffle.
+    """
     names = docs.columns
     shown = [f"_c{i}" for i in range(len(names))]
     rows = docs.toDF(*shown).withColumn("_text", F.col(shown[names.index(text)]))
