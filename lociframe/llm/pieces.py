@@ -714,7 +714,11 @@ def _decoder(vocabulary, columns: list[str]) -> object:
 
 
 def decode_texts(encoded: DataFrame, model_path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, decoded) of rows with ids; null ids give null."""
+    """(key, decoded) of rows with ids.
+
+    Null ids give null, no ids an empty text. Null and repeated keys stay, one row a row; an empty table gives an empty one;
+    other columns are left out. No shuffle.
+    """
     if model_path is None:
         import public_tokenizers
 

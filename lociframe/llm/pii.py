@@ -191,7 +191,11 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def redact_documents(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with personal data replaced in ``text``, and ``length`` set to the code points left. Null stays null."""
+    """``docs`` with personal data replaced in ``text``, and ``length`` set to the code points left.
+
+    Null and empty texts stay what they are, with a length of 0. Null keys and repeated rows stay, one row a row; an empty table
+    gives an empty one; columns may have any names, and without one named ``length`` none is set. No shuffle.
+    """
 
     def put(texts: list, spans: list[list[Span]]) -> dict[str, pa.Array]:
         return {"_clean": pa.array([t if not s else redact(t, s) for t, s in zip(texts, spans, strict=True)], pa.string())}
