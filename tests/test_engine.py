@@ -262,6 +262,23 @@ def test_streams(spark, tmp_path):
     assert kmer.top_kmers(r, 2, 3).count() == 3
 
 
+def test_growing_bwt_keeps_few_pieces(spark, tmp_path):
+    from lociframe.streaming.inserts import GrowingBwt
+
+    rng = random.Random(4)
+    rs = ["".join(rng.choice("ACGT") for _ in range(5)) for _ in range(22)]
+    r, growing = of(spark, rs), GrowingBwt(spark, str(tmp_path / "index"))
+    for k in range(7):
+        growing.add_batch(r.where(F.col("rid").between(3 * k, 3 * k + 2)), k)
+    assert growing._live() == [(6, 6), (4, 5), (0, 3)] and len(growing._pieces()) <= 5
+    assert bwt.as_string(growing.bwt()) == oracle.bwt(rs[:21])
+    assert bwt.as_string(growing.bwt(6)) == oracle.bwt(rs[:18])
+    growing.add_batch(r.where("rid >= 18"), 6)  # again, with a read more
+    growing.add_batch(r.limit(0), 7)
+    assert bwt.as_string(growing.bwt()) == oracle.bwt(rs) and growing.reads().count() == 22
+    assert GrowingBwt(spark, str(tmp_path / "none")).bwt().count() == 0
+
+
 def test_fastx_ranges_and_bytes(spark, tmp_path):
     rng = random.Random(5)
     fa, fq, odd = (str(tmp_path / n) for n in ("a.fa", "b.fq", "odd.fa"))
